@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwerk.session import Cut
+
 #: JSON types in the order that breaks a tie between equally frequent ones.
 TYPES = ("string", "integer", "number", "boolean", "object", "array")
 #: Texts that stand for an absent value.
@@ -104,27 +106,30 @@ def field_changes(raw: DataFrame) -> DataFrame:
     changes nothing.  Lines that are no JSON object are ignored, repeated lines count as they are; a file without
     any valid line has no fields.  An empty table gives an empty report.
     """
-    cat = field_catalog(raw)
-    spans = cat.join(file_order(raw), ["feed", "file_no"])
+    cut = Cut(raw.sparkSession, "drift")
+    spans = cut.write(field_catalog(raw).join(file_order(raw), ["feed", "file_no"]))
     w = Window.partitionBy("feed", "field").orderBy("pos")
     spans = spans.select("*", F.lag("pos").over(w).alias("p"), F.lead("pos").over(w).alias("n"), F.lag("json_type").over(w).alias("type_before"))
     starts = spans.where("pos > 1 AND (p IS NULL OR pos - p > 1)").select("feed", "file_no", "prev_file", F.lit("added").alias("change"), "field", "json_type")
     endings = spans.where("next_file IS NOT NULL AND (n IS NULL OR n - pos > 1)").select("feed", F.col("next_file").alias("file_no"), F.col("file_no").alias("prev_file"), F.lit("removed").alias("change"), "field", "json_type")
     retyped = spans.where("pos - p = 1 AND json_type <> type_before").select("feed", "file_no", F.col("field").alias("before"), F.col("field").alias("after"))
-    edges = starts.unionByName(endings)
+    edges = cut.write(starts.unionByName(endings))
     both = edges.groupBy("feed", "file_no", "prev_file").agg(F.count_if(F.col("change") == "added").alias("a"), F.count_if(F.col("change") == "removed").alias("r")).where("a > 0 AND r > 0").select("feed", "file_no", "prev_file")
     # the values of the fields that come or go in a file where some come and some go
     sides = both.select("feed", F.col("file_no").alias("at"), F.explode(F.array(F.struct(F.col("file_no").alias("file_no"), F.lit("added").alias("change")), F.struct(F.col("prev_file").alias("file_no"), F.lit("removed").alias("change")))).alias("s")).select("feed", "at", "s.file_no", "s.change")
+    sides = cut.write(sides)
     lines = valid_lines(raw).join(sides.select("feed", "file_no").distinct(), ["feed", "file_no"], "left_semi")
     values = _fields(lines).select("feed", "file_no", "record", "field", plain_value(F.col("value")).alias("x")).where("record IS NOT NULL AND x IS NOT NULL")
     values = values.withColumn("x", F.xxhash64("x")).join(sides, ["feed", "file_no"])
     values = values.join(edges.select("feed", F.col("file_no").alias("at"), "change", "field"), ["feed", "at", "change", "field"], "left_semi").distinct()
+    values = cut.write(values)
     old = values.where("change = 'removed'").select("feed", "at", "record", F.col("field").alias("before"), F.col("x").alias("x0"))
     new = values.where("change = 'added'").select("feed", "at", "record", F.col("field").alias("after"), F.col("x").alias("x1"))
     pairs = old.join(new, ["feed", "at", "record"]).groupBy("feed", "at", "before", "after").agg(F.count_if(F.expr("x0 = x1")).alias("same"), F.count("*").alias("shared"))
     pairs = pairs.where((F.col("same") >= SAME_SHARE * F.col("shared")) & (F.col("same") > 0))
     rank = lambda own, other: F.row_number().over(Window.partitionBy("feed", "at", own).orderBy(F.desc(F.col("same") / F.col("shared")), F.desc("same"), other))
     renames = pairs.select("*", rank("before", "after").alias("i"), rank("after", "before").alias("j")).where("i = 1 AND j = 1").select("feed", F.col("at").alias("file_no"), "before", "after")
+    renames = cut.write(renames)
     gone = renames.select("feed", "file_no", F.explode(F.array(F.struct(F.lit("removed").alias("change"), F.col("before").alias("field")), F.struct(F.lit("added").alias("change"), F.col("after").alias("field")))).alias("g")).select("feed", "file_no", "g.*")
     plain = edges.join(gone, ["feed", "file_no", "change", "field"], "left_anti")
     types = edges.select("feed", "file_no", "change", "field", "json_type")

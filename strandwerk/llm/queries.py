@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwerk.llm import components, fusion, leaks, tokens
+from strandwerk.llm import components, fusion, leaks, tokens, toxicity
 from strandwerk.plans.registry import Registry, table
 
 R = Registry()
@@ -37,3 +37,18 @@ def p8_ids(spark, d):
 @R.add()
 def p9_found(spark, d):
     return leaks.find_leaks(t(spark, d, "documents"), t(spark, d, "benchmark"))
+
+
+@R.add()
+def p10_found(spark, d):
+    return toxicity.score(t(spark, d, "documents"), t(spark, d, "labels")).where(f"score >= {toxicity.THRESHOLD}").select("doc_id").distinct()
+
+
+@R.add()
+def p10_scores(spark, d):
+    return toxicity.score(t(spark, d, "documents"), t(spark, d, "labels"))
+
+
+@R.add()
+def p10_rates(spark, d):
+    return toxicity.rates(toxicity.score(t(spark, d, "documents"), t(spark, d, "labels")))

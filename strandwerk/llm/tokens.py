@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Fixed value: the pre-tokenization pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -153,7 +154,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     if len(data) > MAX_FILE:
         raise ValueError(f"a vocabulary of more than {MAX_FILE} bytes")
     shared = df.sparkSession.sparkContext.broadcast(data)
-    schema = df.select(key).schema.add("ids", "array<int>")
+    schema = df.select(key).schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

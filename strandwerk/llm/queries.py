@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandwerk.llm import components, fusion, leaks, tokens, toxicity
+from strandwerk.llm import components, fusion, leaks, tokens, toxicity, variants
 from strandwerk.plans.registry import Registry, table
 
 R = Registry()
@@ -29,6 +29,16 @@ def p4_found(spark, d):
     return components.consolidate(t(spark, d, "resolved_companies"))
 
 
+@R.add()
+def p5_found(spark, d):
+    return variants.variant_pairs(t(spark, d, "companies"))
+
+
+@R.add()
+def p5_groups(spark, d):
+    return variants.group_variants(t(spark, d, "companies")).selectExpr("uuid", "lower(hex(`group`)) AS group_id")
+
+
 @R.add()
 def p8_ids(spark, d):
     return tokens.encode(t(spark, d, "documents"))

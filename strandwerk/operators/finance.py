@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # XBRL tags of each financial concept, in order of priority.
@@ -85,8 +85,9 @@ def enough_items(values: DataFrame, items: tuple[str, ...], least: int = 3) -> D
 def filings(index: DataFrame, form: str, limit: int) -> DataFrame:
     """``index(cik, form[], accession[], filed[])``, parallel arrays, to the newest ``limit`` filings of a form for each cik; accession numbers without dashes."""
     rows = index.select("cik", F.inline(F.arrays_zip("form", "accession", "filed"))).where(F.col("form") == form)
-    top = rows.groupBy("cik").agg(F.expr(f"max_by(struct(accession, filed), struct(filed, accession), {limit})").alias("t"))
-    return top.select(F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"), F.inline("t")).withColumn("accession", F.regexp_replace("accession", "-", ""))
+    newest = Window.partitionBy("cik").orderBy(F.desc("filed"), F.desc("accession"))
+    top = rows.withColumn("i", F.row_number().over(newest)).where(F.col("i") <= limit)
+    return top.select(F.lpad(F.col("cik").cast("string"), 10, "0").alias("cik"), F.regexp_replace("accession", "-", "").alias("accession"), "filed")
 
 
 def xbrl_facts(docs: DataFrame, key: str = "doc", xml: str = "xml") -> DataFrame:

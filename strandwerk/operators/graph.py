@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from strandwerk.session import Cut
 
+#: Steps of a spreading search that are planned as one job.
+STEPS = 4
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """``(node, in_degree, out_degree, degree)`` of directed edges (src, dst); isolated nodes have no row."""
@@ -93,22 +96,39 @@ def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     nodes = cut.write(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     done = None
     for _ in range(rounds):
-        if nodes.isEmpty():
+        # nodes without an edge in or out are components of their own; without them their neighbours may be too
+        n = nodes.count()
+        while n:
+            core = nodes.join(e, nodes.node == e.src, "left_semi").join(e, F.col("node") == F.col("dst"), "left_semi")
+            core = cut.write(core.select("node"))
+            m = core.count()
+            if m == n:
+                break
+            out = nodes.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))
+            done = out if done is None else done.unionByName(out)
+            e = cut.write(e.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+            nodes, n = core, m
+        if not n:
             break
         colour = nodes.select("node", F.col("node").alias("c"))
         while True:
-            come = e.join(colour, e.src == colour.node).groupBy("dst").agg(F.max("c").alias("m"))
-            new = cut.write(colour.join(come, colour.node == come.dst, "left").select("node", F.greatest("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old")))
+            new = colour.select("node", "c", F.col("c").alias("old"))
+            for _ in range(STEPS):
+                come = e.join(new, e.src == new.node).groupBy("dst").agg(F.max("c").alias("m"))
+                new = new.join(come, new.node == come.dst, "left").select("node", F.greatest("c", F.coalesce("m", "c")).alias("c"), "old")
+            new = cut.write(new)
+            colour = new.drop("old")
             if new.where("c <> old").isEmpty():
                 break
-            colour = new.drop("old")
-        colour = new.drop("old")
         # backwards from each root within its colour
         s, d = colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), colour.select(F.col("node").alias("dst"), F.col("c").alias("cd"))
         inside = cut.write(e.join(s, "src").join(d, "dst").where("cs = cd").select("src", "dst"))
         hit = front = cut.write(colour.where("node = c"))
         while not front.isEmpty():
-            front = cut.write(inside.join(front, inside.dst == front.node).select(F.col("src").alias("node"), "c").distinct().join(hit, "node", "left_anti"))
+            found = front
+            for _ in range(STEPS):
+                found = inside.join(found, inside.dst == found.node).select(F.col("src").alias("node"), "c").unionByName(found).distinct()
+            front = cut.write(found.join(hit, "node", "left_anti"))
             hit = cut.write(hit.unionByName(front))
         out = hit.select("node", F.col("c").alias("component"))
         done = out if done is None else done.unionByName(out)

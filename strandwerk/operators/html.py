@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SKIP = {"script", "style", "noscript", "template"}
 _BLOCK = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "br", "body", "header", "footer", "blockquote", "pre"}
@@ -78,12 +79,15 @@ def html_text(html: str | None) -> str | None:
     return "\n".join([f"Title: {title}"] * bool(title) + lines)
 
 
-@F.pandas_udf("string")
-def html_to_text(s: pd.Series) -> pd.Series:
-    """``html_text`` over a column."""
+def _texts(s: pd.Series) -> pd.Series:
     return s.map(html_text)
 
 
+def html_to_text(c: Column) -> Column:
+    """``html_text`` over a column, in Arrow batches."""
+    return F.pandas_udf(_texts, StringType())(c)
+
+
 def reduction_pct(before: Column, after: Column) -> Column:
     """By how many percent a text became shorter; 0 for an empty one."""
     n = F.length(before)

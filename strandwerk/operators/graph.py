@@ -97,17 +97,18 @@ def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     done = None
     for _ in range(rounds):
         # nodes without an edge in or out are components of their own; without them their neighbours may be too
-        n = nodes.count()
+        n = e.count()
         while n:
-            core = nodes.join(e, nodes.node == e.src, "left_semi").join(e, F.col("node") == F.col("dst"), "left_semi")
-            core = cut.write(core.select("node"))
-            m = core.count()
-            if m == n:
+            left = e
+            for _ in range(STEPS):
+                left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            e = cut.write(left.select("src", "dst"))
+            n, m = e.count(), n
+            if n == m:
                 break
-            out = nodes.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))
-            done = out if done is None else done.unionByName(out)
-            e = cut.write(e.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-            nodes, n = core, m
+        core = cut.write(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+        out = nodes.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))
+        done, nodes = out if done is None else done.unionByName(out), core
         if not n:
             break
         colour = nodes.select("node", F.col("node").alias("c"))

@@ -13,6 +13,8 @@ A group never leaves its row until its claims are known, so that no group is col
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ FILLERS = (
 YEARS = (1500, 2100)
 
 #: Rounds of the estimation, accuracy of a source before any evidence, and weight of that in claims.
-ROUNDS, PRIOR_ACCURACY, PRIOR_WEIGHT = 3, 0.8, 20.0
+ROUNDS, PRIOR_ACCURACY, PRIOR_WEIGHT = 4, 0.8, 20.0
 #: False values a field could take, and how likely a copier copies a given value.
 FALSE_VALUES, COPY_RATE = 50.0, 0.8
 #: Sources are a dimension table: more than this many are refused, as their pairs are held by the driver.
@@ -127,7 +129,7 @@ def votes(blocks: DataFrame, cut: Cut) -> tuple[DataFrame, dict, dict]:
     copies: dict[tuple[str, str], float] = {}
     spark = c.sparkSession
     scored = None
-    for _ in range(ROUNDS):
+    for r in range(ROUNDS):
         acc = F.broadcast(spark.createDataFrame([(s, a) for s, a in accuracy.items()] or [("", 0.5)], "source string, accuracy double"))
         dep = F.broadcast(spark.createDataFrame([(a, b, p) for (a, b), p in copies.items()] or [("", "", 0.0)], "source string, other string, dependence double"))
         x = c.join(acc, "source")
@@ -145,27 +147,34 @@ def votes(blocks: DataFrame, cut: Cut) -> tuple[DataFrame, dict, dict]:
             cut.free(scored)
         scored = new
         p = c.join(scored, [*g, "vote"])
-        got = p.groupBy("source").agg(((F.sum("posterior") + PRIOR_ACCURACY * PRIOR_WEIGHT) / (F.count("*") + PRIOR_WEIGHT)).alias("a"))
-        accuracy = {r[0]: min(max(r[1], 0.05), 0.99) for r in got.collect()}
-        a, b = p.select(*g, "vote", F.col("source").alias("s1"), "posterior"), c.select(*g, F.col("source").alias("s2"), F.col("vote").alias("v2"))
-        pair = a.join(b, g).where("s1 < s2").groupBy("s1", "s2").agg(F.sum(F.when(F.expr("vote = v2"), F.col("posterior"))).alias("kt"), F.sum(F.when(F.expr("vote = v2"), 1 - F.col("posterior"))).alias("kf"), F.count_if(F.expr("vote <> v2")).alias("kd"))
+        # the first round's votes may be copies: they only tell dependences
+        got = p.where(F.lit(r > 0)).groupBy("source").agg(((F.sum("posterior") + PRIOR_ACCURACY * PRIOR_WEIGHT) / (F.count("*") + PRIOR_WEIGHT)).alias("a"))
+        accuracy |= {x[0]: min(max(x[1], 0.05), 0.99) for x in got.collect()}
+        est = F.broadcast(spark.createDataFrame(list(accuracy.items()) or [("", 0.5)], "s string, a double"))
+        left = p.join(est, p.source == est.s).select(*g, "vote", F.col("source").alias("s1"), F.col("a").alias("a1"), "posterior")
+        right = c.join(est, c.source == est.s).select(*g, F.col("source").alias("s2"), F.col("a").alias("a2"), F.col("vote").alias("v2"))
+        pair = left.join(right, g).where("s1 < s2").groupBy("s1", "s2").agg(F.sum(evidence(F.expr("vote = v2"), F.col("posterior"), F.col("a1"), F.col("a2"))).alias("e"))
         copies = {}
-        for s1, s2, kt, kf, kd in pair.collect():
-            p_dep = dependence(kt or 0.0, kf or 0.0, kd, accuracy[s1], accuracy[s2])
-            copies[s1, s2] = copies[s2, s1] = p_dep
+        for s1, s2, e in pair.collect():
+            copies[s1, s2] = copies[s2, s1] = dependence(e)
     return c.join(scored, [*g, "vote"]), accuracy, copies
 
 
-def dependence(kt: float, kf: float, kd: float, a1: float, a2: float, prior: float = 0.2) -> float:
-    """Posterior that two sources depend on each other, from the counts of shared true, shared false and different values."""
-    import math
+def evidence(same: Column, true: Column, a1: Column, a2: Column) -> Column:
+    """The log odds that one item gives for two sources' dependence: they share a value, true with probability ``true``, or differ.
 
+    Two sources share a false value by chance far more seldom than a true one; whether the shared value is true is summed out.
+    """
+    a = F.greatest(a1, a2)
     pt, pf = a1 * a2, (1 - a1) * (1 - a2) / FALSE_VALUES
-    pd = max(1 - pt - pf, 1e-9)
-    a = max(a1, a2)
-    dt, df, dd = a * COPY_RATE + pt * (1 - COPY_RATE), (1 - a) * COPY_RATE + pf * (1 - COPY_RATE), pd * (1 - COPY_RATE)
-    log_odds = math.log(prior / (1 - prior)) + kt * math.log(dt / pt) + kf * math.log(df / pf) + kd * math.log(dd / pd)
-    return 1 / (1 + math.exp(-max(min(log_odds, 500), -500)))
+    dt, df = a * COPY_RATE + pt * (1 - COPY_RATE), (1 - a) * COPY_RATE + pf * (1 - COPY_RATE)
+    return F.when(same, _log(true * dt + (1 - true) * df) - _log(true * pt + (1 - true) * pf)).otherwise(F.lit(math.log(1 - COPY_RATE)))
+
+
+def dependence(log_odds: float, prior: float = 0.2) -> float:
+    """Posterior that two sources depend on each other, from the sum of their items' evidence."""
+    x = log_odds + math.log(prior / (1 - prior))
+    return 1 / (1 + math.exp(-max(min(x, 500), -500)))
 
 
 def fuse(blocks: DataFrame, sources: DataFrame | None = None) -> DataFrame:

@@ -49,13 +49,13 @@ def lineage_sizes(resolved: DataFrame) -> DataFrame:
 def overlap(a: DataFrame, b: DataFrame, col: str = "uuid") -> DataFrame:
     """One row: distinct values in either table and in both."""
     x, y = a.select(col).where(f"{col} IS NOT NULL").distinct(), b.select(col).where(f"{col} IS NOT NULL").distinct()
-    both = x.join(y, col, "left_semi").agg(F.count("*").alias("both"))
-    return x.agg(F.count("*").alias("left")).crossJoin(y.agg(F.count("*").alias("right"))).crossJoin(both)  # three tables of one row
+    both = x.join(y, col, "left_semi").agg(F.count("*")).scalar()
+    return x.agg(F.count("*").alias("left")).select("left", y.agg(F.count("*")).scalar().alias("right"), both.alias("both"))
 
 
 def reduction_by_round(sizes: DataFrame) -> DataFrame:
     """``(iteration, rows, reduction_pct, overall_pct)`` from ``sizes(iteration, rows)``: against the round before and the first."""
     before = sizes.select((F.col("iteration") + 1).alias("iteration"), F.col("rows").alias("_b"))
-    first = sizes.agg(F.min_by("rows", "iteration").alias("_f"))
     pct = lambda a: F.round(100 - F.try_divide(F.lit(100.0) * F.col("rows"), F.col(a)), 6)
-    return sizes.join(before, "iteration", "left").crossJoin(F.broadcast(first)).select("iteration", "rows", pct("_b").alias("reduction_pct"), pct("_f").alias("overall_pct"))
+    with_first = sizes.join(before, "iteration", "left").withColumn("_f", sizes.agg(F.min_by("rows", "iteration")).scalar())
+    return with_first.select("iteration", "rows", pct("_b").alias("reduction_pct"), pct("_f").alias("overall_pct"))

@@ -25,12 +25,13 @@ def block_key_of(key: Column) -> Column:
 
 
 def key_sizes(blocks: DataFrame) -> DataFrame:
-    """``(block_key, block_id, entries)``: one row for each block with a key; only the list's uuids are read.
+    """``(block_key, block_id, entries)``: one row for each block; only the list's uuids are read.
 
-    ``entries`` is what ``original_companies`` holds, whatever ``block_size`` says; NULL lists hold nothing.
+    ``entries`` is what ``original_companies`` holds, whatever ``block_size`` says; NULL lists hold nothing.  Blocks
+    without a key stay: their entries count in the total, but they are no key.
     """
     n = F.coalesce(F.size(F.col("original_companies.uuid")), F.lit(0))
-    return blocks.select(block_key_of(F.col("block_key")).alias("block_key"), "block_id", F.greatest(n, F.lit(0)).cast("bigint").alias("entries")).where("block_key IS NOT NULL")
+    return blocks.select(block_key_of(F.col("block_key")).alias("block_key"), "block_id", F.greatest(n, F.lit(0)).cast("bigint").alias("entries"))
 
 
 def heavy_candidates(sizes: DataFrame, theta: float = THETA, items: int = ITEMS) -> DataFrame:
@@ -40,7 +41,7 @@ def heavy_candidates(sizes: DataFrame, theta: float = THETA, items: int = ITEMS)
     come out, which bounds the broadcast that uses them.
     """
     k = math.ceil(1 / (theta - 3.5 / items))
-    each = sizes.where("entries > 0").select(F.explode(F.expr("array_repeat(block_key, cast(entries AS int))")).alias("k"))
+    each = sizes.where("entries > 0 AND block_key IS NOT NULL").select(F.explode(F.expr("array_repeat(block_key, cast(entries AS int))")).alias("k"))
     return each.agg(F.expr(f"approx_top_k(k, {min(k, items)}, {items})").alias("top")).select(F.explode("top.item").alias("block_key"))
 
 
@@ -57,7 +58,7 @@ def key_results(sizes: DataFrame, theta: float = THETA) -> DataFrame:
     hot = sizes.join(keys, "block_key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("block_id"), F.lit(SALTS)))
     parts = _agg(hot, "block_key", "salt")
     hot = parts.groupBy("block_key").agg(F.sum("blocks").alias("blocks"), F.sum("companies").alias("companies"), F.min("min_size").alias("min_size"), F.max("max_size").alias("max_size")).withColumn("heavy", F.lit(True))
-    rest = _agg(sizes.join(keys, "block_key", "left_anti"), "block_key").withColumn("heavy", F.lit(False))
+    rest = _agg(sizes.where("block_key IS NOT NULL").join(keys, "block_key", "left_anti"), "block_key").withColumn("heavy", F.lit(False))
     out = hot.unionByName(rest)
     return out.select("block_key", "blocks", "companies", "min_size", "max_size", F.round(F.col("companies") / F.col("blocks"), 6).alias("avg_size"), "heavy")
 
@@ -70,5 +71,5 @@ def heavy_keys(sizes: DataFrame, theta: float = THETA) -> DataFrame:
     keys = F.broadcast(heavy_candidates(sizes, theta))
     exact = sizes.join(keys, "block_key", "left_semi").withColumn("salt", F.pmod(F.xxhash64("block_id"), F.lit(SALTS)))
     exact = exact.groupBy("block_key", "salt").agg(F.sum("entries").alias("n")).groupBy("block_key").agg(F.sum("n").alias("n"))
-    total = sizes.agg(F.sum("entries").alias("total"))  # one row
-    return exact.crossJoin(F.broadcast(total)).where(F.col("n") >= theta * F.col("total")).select("block_key")
+    total = sizes.agg(F.sum("entries")).scalar()
+    return exact.where(F.col("n") >= theta * total).select("block_key")

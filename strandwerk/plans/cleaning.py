@@ -32,15 +32,15 @@ def p2_relationships(spark, d):
 
 
 _KEYS = """WITH k AS (SELECT regexp_replace(upper(trim(block_key)), '\\s*_CHUNK_[0-9]+\\s*$', '') AS block_key, coalesce(len(original_companies), 0) AS n
- FROM blocks WHERE block_key IS NOT NULL)"""
+ FROM blocks)"""
 
 
-@R.add(_KEYS + " SELECT block_key FROM k GROUP BY block_key HAVING sum(n) >= 0.02 * (SELECT sum(n) FROM k)")
+@R.add(_KEYS + " SELECT block_key FROM k WHERE block_key IS NOT NULL GROUP BY block_key HAVING sum(n) >= 0.02 * (SELECT sum(n) FROM k)")
 def p3_found(spark, d):
     return skew.heavy_keys(skew.key_sizes(t(spark, d, "blocks")))
 
 
-@R.add(_KEYS + " SELECT block_key, count(*)::BIGINT AS blocks, sum(n)::BIGINT AS companies, min(n)::BIGINT AS min_size, max(n)::BIGINT AS max_size, round(sum(n) / count(*), 6) AS avg_size FROM k GROUP BY block_key")
+@R.add(_KEYS + " SELECT block_key, count(*)::BIGINT AS blocks, sum(n)::BIGINT AS companies, min(n)::BIGINT AS min_size, max(n)::BIGINT AS max_size, round(sum(n) / count(*), 6) AS avg_size FROM k WHERE block_key IS NOT NULL GROUP BY block_key")
 def p3_key_results(spark, d):
     return skew.key_results(skew.key_sizes(t(spark, d, "blocks"))).drop("heavy")
 

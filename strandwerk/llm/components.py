@@ -55,8 +55,7 @@ def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
     giant = None
     if peeled := _peel(e, cut):
         seen, total = peeled
-        root = seen.agg(F.min("x").alias("root"))  # one row
-        giant = cut.write(seen.crossJoin(F.broadcast(root)))
+        giant = cut.write(seen.withColumn("root", F.lit(seen.agg(F.min("x")).first()[0])))
         known = F.broadcast(seen) if total <= BROADCAST_IDS else seen
         rest = cut.write(e.join(known, e.a == seen.x, "left_anti"))
         cut.free(e, seen)

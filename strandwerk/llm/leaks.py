@@ -11,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
@@ -147,6 +148,14 @@ class Index:
 _HELD: dict[str, Index] = {}
 
 
+def _index(name: str, items: list[tuple[int, str]]) -> Index:
+    """The index of a block of items, kept by the worker over its tasks; one block at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Index(items)
+    return _HELD[name]
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(key, item)``: each document with each item it leaks, once; repeated documents' rows count each.
 
@@ -162,12 +171,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     for at in range(0, max(len(rows), 1), BLOCK):
         shared = spark.sparkContext.broadcast(rows[at : at + BLOCK])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            name = repr(shared)
-            index = _HELD.get(name)
-            if index is None:
-                _HELD.clear()
-                index = _HELD[name] = Index(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value)
             for batch in batches:
                 ids, found = [], []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from hashlib import md5
 from itertools import chain
 
 from pyspark.sql import DataFrame
@@ -138,7 +139,15 @@ class Encoder(dict):
         return list(chain.from_iterable(map(self.__getitem__, self.pieces(text)))) if text else []
 
 
-_HELD: dict[int, Encoder] = {}
+_HELD: dict[str, Encoder] = {}
+
+
+def _encoder(name: str, data: bytes, pattern: str) -> Encoder:
+    """The encoder of a vocabulary, kept by the worker over its tasks; one vocabulary at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Encoder(Vocabulary.parse(data), pattern)
+    return _HELD[name]
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = PATTERN) -> DataFrame:
@@ -159,9 +168,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        encoder = _HELD.get(shared_id)
-        if encoder is None:
-            encoder = _HELD[shared_id] = Encoder(Vocabulary.parse(shared.value), pattern)
+        encoder = _encoder(shared_id, shared.value, pattern)
         for batch in batches:
             lists = [encoder.encode(s.as_py()) for s in batch.column(1)]
             ends = np.zeros(len(lists) + 1, np.int32)
@@ -169,5 +176,5 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
             flat = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
-    shared_id = hash((data[:1000], len(data), pattern))
+    shared_id = md5(data + pattern.encode()).hexdigest()
     return df.select(key, text).mapInArrow(run, schema)

@@ -232,3 +232,25 @@ _LISTS = {"partnerships": "Partnership", "investments": "Investment", "suppliers
 def g5_report_edges(spark, d):
     r = t(spark, d, "relationships").where("src IS NOT NULL")
     return graph.report_edges(r.select(F.col("src").alias("id"), *[F.when(F.col("relationship") == k, F.array("dst")).alias(c) for c, k in _LISTS.items()]))
+
+
+@R.add()
+def e11_combined_blocks(spark, d):
+    """Blocks by name and blocks by vector in one table, each kind with its own keys."""
+    from strandwerk.operators import blocking
+
+    names = blocking.assign_blocks(blocking.name_keys(t(spark, d, "companies"))).select("block_key", "block_key_type", F.col("uuid").alias("member"))
+    vectors = semantic.semantic_blocks(t(spark, d, "embeddings").select("vec_id", "embedding"), 50)
+    return names.unionByName(vectors.select("block_key", F.lit("semantic").alias("block_key_type"), F.col("vec_id").cast("string").alias("member")))
+
+
+_JT = "CASE json_type(payload, '$.\"employees\"') WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' END"
+
+
+@R.add(f"SELECT {_JT} AS json_type, count(*)::BIGINT AS lines FROM (SELECT CASE WHEN json_valid(payload) AND regexp_matches(payload, '^\\s*\\{{.*\\}}\\s*$') THEN payload::JSON END AS payload FROM raw_files) WHERE json_exists(payload, '$.\"employees\"') AND json_type(payload, '$.\"employees\"') <> 'NULL' GROUP BY 1")
+def a21_type_profile(spark, d):
+    """The JSON types in which one field comes."""
+    from strandwerk.operators import drift
+
+    v = F.try_variant_get(F.try_parse_json(F.when(F.col("payload").rlike(r"(?s)^\s*\{.*\}\s*$"), F.col("payload"))), "$.employees", "variant")
+    return t(spark, d, "raw_files").select(drift.json_type(v).alias("json_type")).where("json_type IS NOT NULL").groupBy("json_type").agg(F.count("*").alias("lines"))

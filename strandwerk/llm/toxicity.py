@@ -202,7 +202,8 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> list[
     """At most ``limit`` labelled documents with text and the mean of their labels; ties between raters are left out."""
     y = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("y")).where("y <> 0.5")
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    d = docs.select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text")).where("text IS NOT NULL").dropDuplicates(["doc_id"]).join(F.broadcast(y), "doc_id")
+    # the labels are few and broadcast; only the labelled documents are shuffled
+    d = docs.join(F.broadcast(y), "doc_id").select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"), "y").where("text IS NOT NULL").dropDuplicates(["doc_id"])
     return [(r.text, r.y) for r in d.select("text", "y", "doc_id").orderBy(F.xxhash64("doc_id")).collect()]
 
 

@@ -14,6 +14,13 @@ DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MMMM d, yyyy")
 EXCHANGES = {
     "O": "NASDAQ", "Q": "NASDAQ", "N": "NYSE", "A": "AMEX", "P": "ARCA", "Z": "BATS", "K": "OTC", "OB": "OTCBB", "PK": "OTCPK",
     "TO": "TSX", "V": "TSXV", "CN": "CSE", "NE": "NEO", "L": "LSE", "LON": "LSE", "IL": "ISEQ", "DUB": "ISEQ",
+    "PA": "EPA", "AS": "AMS", "BR": "EBR", "LS": "ELI", "MI": "MIL", "MC": "MCE", "DE": "XETRA", "F": "FRA", "BE": "BER", "HA": "HAM", "HM": "HAN", "MU": "MUN", "SG": "STU",
+    "SW": "SWX", "S": "SWX", "VX": "VTX", "CO": "CPH", "ST": "STO", "HE": "HEL", "IC": "ICE", "OL": "OSL", "VS": "VSE", "PR": "PRA", "WA": "WSE", "BD": "BUD", "BU": "BUC", "AT": "ATH", "IS": "IST",
+    "HK": "HKEX", "SS": "SSE", "SZ": "SZSE", "SH": "SSE", "T": "TSE", "TYO": "TSE", "OS": "OSE", "NK": "NSE", "SP": "SSE", "FS": "FSE", "JP": "JPX", "KS": "KOSPI", "KQ": "KOSDAQ", "NS": "NSE", "BO": "BSE",
+    "SI": "SGX", "TW": "TWSE", "TWO": "TPE", "TB": "TFEX", "BK": "SET", "KL": "KLSE", "JK": "IDX", "PS": "PSE", "VN": "HOSE", "HN": "HNX", "CM": "CSE", "KA": "KSE", "DSE": "DSE", "AX": "ASX", "NZ": "NZX",
+    "TA": "TASE", "TLV": "TASE", "AB": "ADX", "DU": "DFM", "QA": "QSE", "SR": "TADAWUL", "KW": "KSE", "BH": "BSE", "OM": "MSM", "AM": "ASE", "CA": "EGX", "JO": "JSE", "CAS": "CASE", "NBO": "NSE", "NASE": "NASE",
+    "DSM": "DSE", "LUS": "LUSE", "ZSE": "ZSE", "BRVM": "BRVM", "MX": "BMV", "BVMF": "B3", "SA": "B3", "SN": "BCS", "BA": "BCBA", "LM": "BVL", "CR": "BVC", "CCS": "BVCV",
+    "CC": "CRYPTO", "COIN": "CRYPTO", "CBT": "CBOT", "CME": "CME", "NYM": "NYMEX", "CMX": "COMEX", "ICE": "ICE", "LME": "LME",
 }
 SCALE_WORDS = {"thousand": 1e3, "million": 1e6, "billion": 1e9}
 

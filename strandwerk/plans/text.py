@@ -135,7 +135,7 @@ def x27_exchange_of_suffix(spark, d):
     return s.select("uuid", "sym", T.exchange_of(F.col("sym")).alias("exchange"))
 
 
-_KNOWN = ("UQ", "UA", "UN", "LN", "GR", "JT")
+_KNOWN = tuple(schemas.EXCHANGE_CODES)
 
 
 @R.add(f"SELECT DISTINCT article_id, x.symbol AS symbol, CASE WHEN x.exchange IN {_KNOWN} THEN x.exchange ELSE 'UNK' END AS exchange FROM (SELECT article_id, unnest(tickers) AS x FROM articles) WHERE x.symbol IS NOT NULL AND x.symbol <> ''")

@@ -33,6 +33,14 @@ ARTICLE = (
     "article_id bigint, title string, url string, posted_at string, collected_at string, summary string, source struct<name:string,url:string>, authors array<struct<name:string,profile_url:string>>,"
     f" companies array<{_struct(COMPANY)}>, tickers array<{TICKER}>, products array<{_struct(PRODUCT)}>, technologies array<{_struct(TECHNOLOGY)}>, relationships array<{_struct(RELATIONSHIP)}>, cited_sources array<struct<name:string,url:string>>"
 )
+# Exchange codes (others count as UNK) and relationship types.
+EXCHANGE_CODES = (
+    "UN UQ UA UR UM UW UV UP CT CV CN LN GR FP NA BB IM ID PL NO SM SW DC SS FH PW AV CP GA TI JT HK SP CH CZ KS TT IB IN IJ TB PM MK AT NZ BZ MM AR CB PE SJ IT AB DH DU QD EY UNK"
+).split()
+RELATIONSHIP_TYPES = (
+    "Supplier Acquisition Financing Investment Partnership Licensing Subsidiary OEM Competitor Customer JointVenture Litigation Regulatory ResearchCollaboration"
+    " DistributionAgreement SupplyAgreement LicenseIn LicenseOut MaterialContract RevenueStream IntellectualProperty"
+).split()
 BLOCK_FIELDS = ("block_key", "block_key_type", "companies", "block_size")
 
 

@@ -146,8 +146,8 @@ def field_changes(raw: DataFrame) -> DataFrame:
     )
 
 
-def alias_table(changes: DataFrame, fields: dict[str, str]) -> dict[str, list[str]]:
-    """For each field of the consistent table, the names that renames lead to from it or to it, however many steps away."""
+def _renames(changes: DataFrame) -> dict[str, set[str]]:
+    """For each renamed name, the names one rename away."""
     pairs = changes.where("change = 'renamed'").select("field_before", "field_after").distinct().limit(MAX_NAMES + 1).collect()
     if len(pairs) > MAX_NAMES:
         raise ValueError(f"more than {MAX_NAMES} renames of different names")
@@ -155,6 +155,11 @@ def alias_table(changes: DataFrame, fields: dict[str, str]) -> dict[str, list[st
     for before, after in pairs:
         near.setdefault(before, set()).add(after)
         near.setdefault(after, set()).add(before)
+    return near
+
+
+def _owners(near: dict[str, set[str]], fields) -> dict[str, str]:
+    """The field that each name belongs to: the one that the fewest renames lead to."""
     owner, front = {f: f for f in fields}, sorted(fields)
     while front:
         reached = {}
@@ -164,26 +169,76 @@ def alias_table(changes: DataFrame, fields: dict[str, str]) -> dict[str, list[st
                     reached.setdefault(y, owner[x])
         owner |= reached
         front = sorted(reached)
+    return owner
+
+
+def alias_table(changes: DataFrame, fields: dict[str, str]) -> dict[str, list[str]]:
+    """For each field of the consistent table, the names that renames lead to from it or to it, however many steps away."""
+    owner = _owners(_renames(changes), fields)
     return {f: sorted((n for n, o in owner.items() if o == f), key=lambda n: (n != f, n)) for f in fields}
 
 
+def _several(v: Column) -> Column:
+    """The VARIANT is a list of more than one element."""
+    return F.try_variant_get(v, "$[1]", "variant").isNotNull()
+
+
+def other_fields(lines: DataFrame, near: dict[str, set[str]], known: set[str]) -> dict[str, tuple[str, list[str]]]:
+    """``{name: (type, names)}``: each class of renamed names seen besides the known ones, by its most frequent name.
+
+    The type is that of the most frequent JSON type if all its values have it, else string.
+    """
+    v = F.col("value")
+    f = _fields(lines).where(~F.col("field").isin(*known)).select("field", json_type(v).alias("t"), F.when(_several(v), F.to_json(v)).otherwise(plain_value(v)).alias("x"))
+    fits = {"bigint": F.col("x").try_cast("bigint").isNotNull(), "double": F.col("x").try_cast("double").isNotNull(), "boolean": F.col("x").isin("0", "1")}
+    counts = [F.count_if(F.col("t") == t).alias(f"n_{t}") for t in TYPES] + [F.count_if(e).alias(k) for k, e in fits.items()]
+    seen = f.groupBy("field").agg(F.count("*").alias("lines"), F.count("x").alias("values"), *counts).limit(MAX_NAMES + 1).collect()
+    if len(seen) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} different names")
+    left, out = {r.field: r for r in seen}, {}
+    for name in sorted(left, key=lambda n: (-left[n].lines, n)):
+        if name in left:
+            names = [name, *sorted(n for n in _owners(near, [name]) if n in left and n != name)]
+            rows = [left.pop(n) for n in names]
+            total = {k: sum(r[k] for r in rows) for k in ("values", *fits, *(f"n_{t}" for t in TYPES))}
+            kind = {"integer": "bigint", "number": "double", "boolean": "boolean"}.get(max(TYPES, key=lambda t: total[f"n_{t}"]), "string")
+            out[name] = (kind if kind == "string" or total[kind] == total["values"] else "string", names)
+    return out
+
+
 def consistent_table(raw: DataFrame, entity: str, fields: dict[str, str] | None = None, changes: DataFrame | None = None) -> DataFrame:
-    """All valid lines of an entity in one table of ``fields`` (name: type), whatever name and type each file gave them.
+    """All valid lines of an entity in one table, whatever name and type each file gave the fields.
 
-    The casts are generated from the alias table of the detected renames; values that can't be cast are NULL;
-    lines delivered twice come out once.  Columns: feed_name, file_no, uuid, then the fields.
+    ``fields`` (name: type) come first, with values that can't be cast as NULL; every other field that a line has
+    follows by name, those that renames connect as one, as text if its values have no common type.  A name that
+    equals another column's but for case gets a number.  The casts are generated from the alias table of the
+    detected renames; lines delivered twice come out once.  Columns: feed_name, file_no, uuid, then the fields.
     """
     fields = fields or (COMPANY_FIELDS if entity == "companies" else RELATIONSHIP_FIELDS)
     raw = raw.where(F.col("entity") == entity)
-    names = alias_table(changes if changes is not None else field_changes(raw), fields)
-    owner = F.create_map(*[F.lit(x) for f in fields for n in names[f] for x in (n, f)])
-    rank = F.create_map(*[F.lit(x) for f in fields for i, n in enumerate(names[f]) for x in (n, i)])
+    changes = changes if changes is not None else field_changes(raw)
+    names, near = alias_table(changes, fields), _renames(changes)
+    others = other_fields(valid_lines(raw), near, {n for ns in names.values() for n in ns})
+    taken, column = {x.lower() for x in ("feed_name", "file_no", "uuid", *fields)}, {}
+    for n in sorted(others):
+        column[n] = next(x for x in (n, *(f"{n}_{i}" for i in range(2, MAX_NAMES))) if x.lower() not in taken)
+        taken.add(column[n].lower())
+    names |= {n: ns for n, (_, ns) in others.items()}
     v = F.col("value")
+    key = F.create_map(*[F.lit(x) for f, ns in names.items() for i, n in enumerate(ns) for x in (n, F.struct(F.lit(f).alias("f"), F.lit(i).alias("i")))])
     text = F.trim(F.coalesce(F.try_variant_get(v, "$[0]", "string"), F.try_variant_get(v, "$.value", "string"), F.try_variant_get(v, "$.id", "string"), F.try_variant_get(v, "$", "string")))
-    f = _fields(valid_lines(raw)).select("feed", "file_no", "line", "record", owner[F.col("field")].alias("f"), rank[F.col("field")].alias("i"), plain_value(v).alias("x"), text.alias("text"))
+    f = _fields(valid_lines(raw)).select("feed", "file_no", "line", "record", key[F.col("field")].alias("k"), plain_value(v).alias("x"), text.alias("text"), F.when(_several(v), F.to_json(v)).alias("list"))
+    f = f.select("*", "k.f", "k.i")
     # of two names of one field in a line, the first in the alias table that has a value
-    best = lambda n, c: F.min_by(c, F.when((F.col("f") == n) & F.col("x").isNotNull(), F.col("i")))
+    best = lambda n, c, has="x": F.min_by(c, F.when((F.col("f") == n) & F.col(has).isNotNull(), F.col("i")))
     cols = [best(n, F.col("text")).alias(n) if kind == "string" else best(n, F.col("x")).alias(n) for n, kind in fields.items()]
+    f = f.withColumn("any", F.coalesce("list", "x"))
+    cols += [best(n, F.struct(F.coalesce("list", "text").alias("text"), "x"), "any").alias(column[n]) for n in column]
     out = f.groupBy("feed", "file_no", "line").agg(F.first("record").alias("uuid"), *cols)
+    q = lambda n: F.col(f"`{n.replace('`', '``')}`")
     typed = [F.col(n).try_cast("double").try_cast(kind).alias(n) if kind in ("bigint", "double") else F.col(n).try_cast(kind).alias(n) for n, kind in fields.items()]
+    for n, c in column.items():
+        kind = others[n][0]
+        own, x = q(c)["text"], q(c)["x"]
+        typed.append((own if kind == "string" else F.coalesce(own.try_cast(kind), x.try_cast(kind))).alias(c))
     return out.select(F.col("feed").alias("feed_name"), "file_no", "uuid", *typed)

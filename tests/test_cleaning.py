@@ -84,3 +84,14 @@ def test_nested(spark):
     assert {tuple(r) for r in c} == {(1, 1, 1, "A"), (1, 2, 2, None)}
     assert {tuple(r) for r in nested.pivot_group(t, "article_id", a.schema, "products.technologies").collect()} == {(1, 0, 0, 5), (1, 0, 1, 5), (1, 0, 3, 9)}
     assert nested.links(a.limit(0)).count() == 0
+
+
+def test_drift_all_fields(spark):
+    files = {
+        1: [{"uuid": str(i), "name": f"n{i}", "contact": f"c{i}", "score": i, "mixed": i, "Tags": ["a", "b"], "note.x": 1.23456} for i in range(6)],
+        2: [{"uuid": str(i), "name": f"n{i}", "contactPerson": [f"c{i}"], "score": f" {i}" if i == 5 else i, "mixed": "x y", "tags": f"t{i}"} for i in range(6)],
+    }
+    t = drift.consistent_table(raw(spark, files), "companies")
+    assert dict(t.dtypes)["score"] == "bigint" and dict(t.dtypes)["mixed"] == "string" and dict(t.dtypes)["note.x"] == "double" and len(t.columns) == 3 + len(drift.COMPANY_FIELDS) + 6
+    got = {(r.file_no, r.uuid): (r.contact, r.score, r.mixed, r.Tags, r.tags_2, r["note.x"]) for r in t.collect()}
+    assert got == {(1, str(i)): (f"c{i}", i, str(i), '["a","b"]', None, 1.23456) for i in range(6)} | {(2, str(i)): (f"c{i}", i, "x y", None, f"t{i}", None) for i in range(6)}

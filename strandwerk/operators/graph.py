@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,17 +87,18 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def strong_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``(node, component)``: strongly connected components, by their greatest node, by colouring.
 
     Each pass spreads the greatest node forwards until nothing changes; the nodes that reach their colour's root
-    backwards inside the colour are its component and leave the graph.  For graphs of moderate depth.
+    backwards inside the colour are its component and leave the graph, until none is left.  For graphs of moderate depth: nodes left after ``rounds``
+    passes, if that is given, raise an error.
     """
     cut = Cut(edges.sparkSession, "scc")
     e = cut.write(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
     nodes = cut.write(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     done = None
-    for _ in range(rounds):
+    for i in count() if rounds is None else range(rounds):
         # nodes without an edge in or out are components of their own; without them their neighbours may be too
         n = e.count()
         while n:
@@ -133,8 +136,13 @@ def strong_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
             hit = cut.write(hit.unionByName(front))
         out = hit.select("node", F.col("c").alias("component"))
         done = out if done is None else done.unionByName(out)
+        if i % 32 == 31:
+            done = cut.write(done)
         nodes = cut.write(nodes.join(hit, "node", "left_anti"))
         e = cut.write(e.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    else:
+        if not nodes.isEmpty():
+            raise ValueError(f"nodes without a component after {rounds} passes")
     return done if done is not None else nodes.select("node", F.col("node").alias("component"))
 
 

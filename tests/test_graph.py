@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandwerk.operators import blocking, dedup, evaluate, graph, graph_build, iterate, kv, matching, refine
@@ -96,3 +97,11 @@ def test_query_language_and_overlap(spark):
     q = kv.run_query(df, {"AND": [{"EQ": {"s": "a"}}, {"OR": [{"LT": {"n": 3}}, {"IN": {"n": [6, 8]}}]}]}, [("n", "DESC")], 2, 1)
     assert [r.n for r in q.collect()] == [6, 2] and kv.run_query(df).count() == 10
     assert tuple(evaluate.overlap(spark.createDataFrame([("a",), ("b",)], "uuid string"), spark.createDataFrame([("b",), (None,)], "uuid string")).first()) == (2, 1, 1)
+
+
+def test_strong_components_of_a_chain(spark):
+    pairs = [(10 * i, 10 * i + 1) for i in (3, 2, 1)]
+    edges = spark.createDataFrame([e for a, b in pairs for e in ((a, b), (b, a))] + [(31, 20), (21, 10)], "src bigint, dst bigint")
+    with pytest.raises(ValueError, match="after 1 passes"):
+        graph.strong_components(edges, rounds=1)
+    assert {tuple(r) for r in graph.strong_components(edges).collect()} == {(x, b) for a, b in pairs for x in (a, b)}

@@ -78,8 +78,7 @@ def e3_semantic_blocks(spark, d):
 )
 def a15_j14_x12_name_distances(spark, d):
     b = t(spark, d, "blocks").select(F.col("block_id").cast("string").alias("block_key"), F.col("original_companies.name").alias("names"))
-    b = b.where(F.size(F.filter("names", lambda n: n.isNotNull())) > 0).where(~F.array_join("names", "").rlike(r"[^ -~\r\n]"))
-    return semantic.name_distance_stats(b)
+    return semantic.name_distance_stats(b.where(F.size(F.filter("names", lambda n: n.isNotNull())) > 0))
 
 
 @R.add("SELECT block_id, block_key, block_size FROM blocks ORDER BY block_size DESC NULLS LAST, block_id LIMIT 10")

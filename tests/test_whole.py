@@ -25,3 +25,11 @@ def test_x26_all_events(spark, tmp_path):
     got, sql = results(spark, "x26_epoch_iso", {"events": spark.createDataFrame([(i,) for i in ids], "event_id bigint")}, tmp_path)
     assert {r["event_id"]: r["iso"] for r in got} == {i: (dt.datetime(1970, 1, 1) + dt.timedelta(days=i)).strftime("%Y-%m-%dT%H:%M:%SZ") for i in ids}
     assert len(sql) == 2 and all(r in got for r in sql)
+
+
+def test_a15_names_of_all_scripts(spark, tmp_path):
+    names = {1: ["Zürich AG", "Zurich AG", "Zürich AG"], 2: ["Ａcme", "Acme", "日本"], 3: ["Abc", "Abd"], 4: [None]}
+    blocks = spark.createDataFrame([(b, [(n,) for n in ns]) for b, ns in names.items()], "block_id bigint, original_companies array<struct<name:string>>")
+    got, sql = results(spark, "a15_j14_x12_name_distances", {"blocks": blocks}, tmp_path)
+    assert {r["block_key"]: tuple(r.values())[1:] for r in got} == {"1": (2, 1, 1, 1, 1.0), "2": (3, 0, 1, 4, 3.0), "3": (2, 0, 1, 1, 1.0)}
+    assert len(sql) == 1 and sql[0] in got

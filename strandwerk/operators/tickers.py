@@ -41,17 +41,18 @@ def best_fuzzy(queries: DataFrame, listed: DataFrame) -> DataFrame:
     return pairs.select("name", F.array_min(scored).alias("m")).select("name", F.col("m.t").alias("ticker"), (-F.col("m.s")).alias("score"))
 
 
-def cosine_best(queries: DataFrame, corpus: DataFrame, threshold: float = 0.85, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def cosine_best(queries: DataFrame, corpus: DataFrame, threshold: float = 0.85, id_col: str = "vec_id", vec: str = "embedding", apart: bool = False) -> DataFrame:
     """``(id, match_id, score)``: for each query vector the corpus vector of the greatest cosine, if it reaches the threshold.
 
     Unit vectors are assumed.  A stated query set (at most ``BLOCK`` rows, checked) is broadcast against the whole
-    corpus; each task keeps its best per query before anything is shuffled.
+    corpus; each task keeps its best per query before anything is shuffled.  ``apart``: a row isn't its own match,
+    for queries that are rows of the corpus.
     """
     if queries.limit(BLOCK + 1).count() > BLOCK:
         raise ValueError(f"more than {BLOCK} queries: split them into blocks")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     q = F.broadcast(queries.select(F.col(id_col).alias("id"), F.col(vec).alias("q")))
-    pairs = corpus.select(F.col(id_col).alias("match_id"), F.col(vec).alias("v")).join(q, F.lit(True), "inner").select("id", "match_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    pairs = corpus.select(F.col(id_col).alias("match_id"), F.col(vec).alias("v")).join(q, F.col("id") != F.col("match_id") if apart else F.lit(True), "inner").select("id", "match_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
     best = pairs.groupBy("id").agg(F.max(F.struct("score", (-F.col("match_id")).alias("m"))).alias("b"))
     return best.select("id", (-F.col("b.m")).alias("match_id"), F.col("b.score").alias("score")).where(F.col("score") >= threshold)
 

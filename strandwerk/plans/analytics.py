@@ -38,7 +38,7 @@ _DOT = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[])"
 )
 def j13_cosine_best(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", "embedding")
-    return tickers.cosine_best(e.where("vec_id % 100 = 0"), e.where("vec_id % 100 <> 0"), 0.2)
+    return tickers.cosine_best(e.where("vec_id % 100 = 0"), e, 0.2, apart=True)
 
 
 _CEN = "cen AS (SELECT label AS cluster, arg_min(embedding, vec_id) AS centroid FROM embeddings GROUP BY label)"

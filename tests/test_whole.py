@@ -33,3 +33,9 @@ def test_a15_names_of_all_scripts(spark, tmp_path):
     got, sql = results(spark, "a15_j14_x12_name_distances", {"blocks": blocks}, tmp_path)
     assert {r["block_key"]: tuple(r.values())[1:] for r in got} == {"1": (2, 1, 1, 1, 1.0), "2": (3, 0, 1, 4, 3.0), "3": (2, 0, 1, 1, 1.0)}
     assert len(sql) == 1 and sql[0] in got
+
+
+def test_j13_match_among_queries(spark, tmp_path):
+    rows = [(0, [1.0, 0.0]), (100, [0.8, 0.6]), (1, [0.0, 1.0]), (200, [0.0, -1.0])]
+    got, _ = results(spark, "j13_cosine_best", {"embeddings": spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")}, tmp_path)
+    assert sorted(tuple(r.values()) for r in got) == [(0, 100, 0.8), (100, 0, 0.8)]

@@ -127,7 +127,7 @@ def wiki_markdown(s: Column) -> Column:
         s = F.regexp_replace(s, r"\{\{[^{}]*\}\}", "")
     for n in range(6, 1, -1):
         s = F.regexp_replace(s, rf"(?m)^={{{n}}}\s*(.*?)\s*={{{n}}}\s*$", "#" * n + " $1")
-    s = F.regexp_replace(s, r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1")
+    s = F.regexp_replace(s, r"\[\[(?:[^|\]]*\|)?((?:[^\]]+|\](?!\])|\](?=\]\]))*)\]\]", "$1")
     s = F.regexp_replace(s, r"\[(https?://\S+)\s+([^\]]+)\]", "[$2]($1)")
     return F.regexp_replace(F.regexp_replace(s, "'''", "**"), "''", "*")
 

@@ -39,3 +39,10 @@ def test_j13_match_among_queries(spark, tmp_path):
     rows = [(0, [1.0, 0.0]), (100, [0.8, 0.6]), (1, [0.0, 1.0]), (200, [0.0, -1.0])]
     got, _ = results(spark, "j13_cosine_best", {"embeddings": spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")}, tmp_path)
     assert sorted(tuple(r.values()) for r in got) == [(0, 100, 0.8), (100, 0, 0.8)]
+
+
+def test_x22_all_titles(spark, tmp_path):
+    titles = ["plain", "Up $5 to $1", "back\\slash", " outer ", "a | b", "x]y", "z]", "k = v", "O'Neil <b>", "{one}"]
+    got, sql = results(spark, "x22_wiki_markdown", {"documents": spark.createDataFrame([*enumerate(titles), (99, None)], "doc_id bigint, title string")}, tmp_path)
+    assert {r["doc_id"]: r["md"] for r in got} == {i: f"## {x.strip()}\n**bold** *it* {x} [text](https://a.example/x) " for i, x in enumerate(titles)}
+    assert len(sql) == 1 and sql[0] in got

@@ -14,7 +14,11 @@ def flatten_matches(blocks: DataFrame) -> DataFrame:
 
 
 def metrics(blocks: DataFrame) -> DataFrame:
-    """One row a round: blocks, errors, entries in and out, skipped, lineage covered, reduction; shares are NULL where nothing was."""
+    """One row a round: blocks, errors, entries in and out, skipped, lineage covered, reduction, references, overlap; shares are NULL where nothing was.
+
+    ``refs`` are the different (entry, listed source) pairs; valid ones name an input of this or an earlier round or
+    an output of an earlier one.  ``overlap`` counts the entries not skipped that have the uuid of an input.
+    """
     b = blocks.groupBy("iteration").agg(
         F.count("*").alias("blocks"), F.count("error").alias("errors"), F.sum(F.greatest(F.coalesce(F.size("original_companies.uuid"), F.lit(0)), F.lit(0))).cast("bigint").alias("originals"),
         F.sum(F.greatest(F.coalesce(F.size("resolved_companies.uuid"), F.lit(0)), F.lit(0))).cast("bigint").alias("resolved"), F.count_if(F.coalesce("was_resolved", F.lit(False))).alias("resolved_blocks"),
@@ -25,14 +29,23 @@ def metrics(blocks: DataFrame) -> DataFrame:
     own = blocks.select("iteration", F.explode("original_companies.uuid").alias("s")).select("iteration", clean_uuid(F.col("s")).alias("u")).where("u IS NOT NULL").distinct()
     covered = own.join(listed, ["iteration", "u"], "left_semi").groupBy("iteration").agg(F.count("*").alias("covered"))
     total = own.groupBy("iteration").agg(F.count("*").alias("inputs"))
-    r = b.join(skipped, "iteration", "left").join(total, "iteration", "left").join(covered, "iteration", "left").na.fill(0, ["skipped", "entities", "inputs", "covered"])
+    uuids = lambda df: df.select("iteration", clean_uuid(F.col("uuid")).alias("u")).where("u IS NOT NULL").distinct()
+    known = own.unionByName(uuids(m).withColumn("iteration", F.col("iteration") + 1)).groupBy("u").agg(F.min("iteration").alias("since"))
+    refs = m.select("iteration", "uuid", F.explode("source_uuids").alias("s")).where("s IS NOT NULL").distinct().select("iteration", clean_uuid(F.col("s")).alias("u"))
+    refs = refs.join(known, "u", "left").groupBy("iteration").agg(F.count("*").alias("refs"), F.count_if(F.col("since") <= F.col("iteration")).alias("valid_refs"))
+    made = uuids(m.where(~F.coalesce("match_skip", F.lit(False))))
+    overlapping = made.join(own.withColumn("known", F.lit(True)), ["iteration", "u"], "left").groupBy("iteration").agg(F.count("*").alias("made"), F.count("known").alias("overlap"))
+    r = b.join(skipped, "iteration", "left").join(total, "iteration", "left").join(covered, "iteration", "left").join(refs, "iteration", "left").join(overlapping, "iteration", "left")
+    r = r.na.fill(0, ["skipped", "entities", "inputs", "covered", "refs", "valid_refs", "made", "overlap"]).withColumn("invalid_refs", F.col("refs") - F.col("valid_refs"))
     share = lambda a, n: F.round(F.try_divide(F.lit(100.0) * F.col(a), F.col(n)), 6)
+    r = r.withColumns({"invalid_pct": share("invalid_refs", "refs"), "overlap_pct": share("overlap", "made")})
     return r.withColumns({"coverage_pct": share("covered", "inputs"), "error_pct": share("errors", "blocks"), "reduction_pct": F.round(100 - F.try_divide(F.lit(100.0) * F.col("resolved"), F.col("originals")), 6)})
 
 
-def passed(m: DataFrame, coverage: float = 99.99, errors: float = 0.01) -> DataFrame:
-    """``(iteration, passed)`` of a metrics table."""
-    return m.select("iteration", (F.coalesce(F.col("coverage_pct") >= coverage, F.lit(False)) & F.coalesce(F.col("error_pct") < errors, F.lit(True))).alias("passed"))
+def passed(m: DataFrame, coverage: float = 99.99, errors: float = 0.01, overlap: float = 1.0) -> DataFrame:
+    """``(iteration, passed)`` of a metrics table: inputs covered, references valid, uuids new."""
+    low = lambda c, most: F.coalesce(F.col(c) < most, F.lit(True))
+    return m.select("iteration", (F.coalesce(F.col("coverage_pct") >= coverage, F.lit(False)) & low("invalid_pct", errors) & low("overlap_pct", overlap)).alias("passed"))
 
 
 def skip_reasons(blocks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import duckdb
 
 import __spark_entry__ as entry
+from strandwerk.operators import evaluate
 
 
 def results(spark, name, tables, folder):
@@ -46,3 +47,16 @@ def test_x22_all_titles(spark, tmp_path):
     got, sql = results(spark, "x22_wiki_markdown", {"documents": spark.createDataFrame([*enumerate(titles), (99, None)], "doc_id bigint, title string")}, tmp_path)
     assert {r["doc_id"]: r["md"] for r in got} == {i: f"## {x.strip()}\n**bold** *it* {x} [text](https://a.example/x) " for i, x in enumerate(titles)}
     assert len(sql) == 1 and sql[0] in got
+
+
+def test_e9_references_and_overlap(spark, tmp_path):
+    u = lambda n: f"00000000-0000-4000-8000-{n:012d}"
+    block = lambda i, ins, outs: (i, i, None, True, [(u(n),) for n in ins], [(u(n), "x", [u(s) for s in ss], skip, None) for n, ss, skip in outs])
+    rows = [block(1, [1, 2], [(11, [1, 2], False)]), block(2, [11, 3], [(21, [11, 3, 1], False)]), block(3, [21], [(31, [21, 99], False)]), block(4, [31, 5], [(31, [31, 5], False), (5, [5], True)])]
+    schema = "block_id bigint, iteration bigint, error string, was_resolved boolean, original_companies array<struct<uuid:string>>, resolved_companies array<struct<uuid:string,name:string,source_uuids:array<string>,match_skip:boolean,match_skip_reason:string>>"
+    blocks = spark.createDataFrame(rows, schema)
+    got, sql = results(spark, "e9_a7_metrics", {"blocks": blocks}, tmp_path)
+    assert {r["iteration"]: (r["refs"], r["valid_refs"], r["invalid_refs"], r["made"], r["overlap"], r["overlap_pct"]) for r in got} == {1: (2, 2, 0, 1, 0, 0.0), 2: (3, 3, 0, 1, 0, 0.0), 3: (2, 1, 1, 1, 0, 0.0), 4: (3, 3, 0, 1, 1, 100.0)}
+    assert {tuple(r) for r in evaluate.passed(evaluate.metrics(blocks)).collect()} == {(1, True), (2, True), (3, False), (4, False)}
+    own = {r["iteration"]: r for r in got}
+    assert len(sql) == 4 and all(own[r["iteration"]][k] == v for r in sql for k, v in r.items())

@@ -73,16 +73,27 @@ def p9_found(spark, d):
     return leaks.find_leaks(t(spark, d, "documents"), t(spark, d, "benchmark"))
 
 
+#: The machine of each session and data folder, so that its queries fit it once.
+_MACHINES: dict[tuple[str, str], tuple] = {}
+
+
+def _scored(spark, d):
+    docs, key = t(spark, d, "documents"), (spark.sparkContext.applicationId, d)
+    if key not in _MACHINES:
+        _MACHINES[key] = toxicity.fit(spark, toxicity.labelled(docs, t(spark, d, "labels")))
+    return toxicity.score_with(docs, *_MACHINES[key])
+
+
 @R.add()
 def p10_found(spark, d):
-    return toxicity.score(t(spark, d, "documents"), t(spark, d, "labels")).where(f"score >= {toxicity.THRESHOLD}").select("doc_id").distinct()
+    return _scored(spark, d).where(f"score >= {toxicity.THRESHOLD}").select("doc_id").distinct()
 
 
 @R.add()
 def p10_scores(spark, d):
-    return toxicity.score(t(spark, d, "documents"), t(spark, d, "labels"))
+    return _scored(spark, d)
 
 
 @R.add()
 def p10_rates(spark, d):
-    return toxicity.rates(toxicity.score(t(spark, d, "documents"), t(spark, d, "labels")))
+    return toxicity.rates(_scored(spark, d))

@@ -8,7 +8,7 @@ Each group's records claim values of fields.  Two policies choose the survivors
 * ``choose``: the lexicographic rule of the data description (trust rank, then recency, then uuid).  Trust decides
   there before any number of votes, which no posterior reproduces; so ``p1_found`` uses this policy.
 
-A group never leaves its row until its claims are known, so that no group is collected by key.
+No group is collected: records meet their group by an equi-join and combine on the map side.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ YEARS = (1500, 2100)
 ROUNDS, PRIOR_ACCURACY, PRIOR_WEIGHT = 4, 0.8, 20.0
 #: False values a field could take, and how likely a copier copies a given value.
 FALSE_VALUES, COPY_RATE = 50.0, 0.8
-#: Sources are a dimension table: more than this many are refused, as their pairs are held by the driver.
-MAX_SOURCES = 2_000
+#: Accuracy before any evidence of a source of the best trust rank, and of the worst or none.
+BEST, WORST = 0.95, 0.6
 
 
 def real_value(field: str, c: Column) -> Column:
@@ -71,28 +71,29 @@ def moment(c: Column) -> Column:
     return F.coalesce(n, F.unix_micros(F.coalesce(iso, rfc)))
 
 
-def groups(blocks: DataFrame) -> DataFrame:
-    """``(block_id, group_uuid, members)``: each resolved entry that lists at least two records of its own block,
-    with those records (once each); no shuffle, as both lists are in the block's row.
+def members(blocks: DataFrame) -> DataFrame:
+    """``(block_id, group_uuid, uuid, source, collected, v)``: each record that a resolved entry of its block lists, with
+    the struct ``v`` of its real values; an equi-join of the blocks' records with the entries' lists.
 
-    Blocks with NULL or empty lists, entries without a list, and listed uuids outside the block give nothing.
+    Time grows with the records and the listed uuids, however they spread over blocks and entries.  Blocks with NULL
+    or empty lists, entries without uuid or list, and listed uuids outside the block give nothing.
     """
     low = lambda x: F.lower(F.trim(x))
-    e = blocks.where("original_companies IS NOT NULL").select("block_id", "original_companies", F.explode("resolved_companies").alias("r")).where("r.uuid IS NOT NULL AND r.source_uuids IS NOT NULL")
-    wanted = F.transform("r.source_uuids", low)
-    own = F.filter("original_companies", lambda o: o.isNotNull() & F.array_contains(wanted, low(o["uuid"])))
-    picked = own_fields = F.transform(own, lambda o: F.struct(o["uuid"].alias("uuid"), o["source"].alias("source"), o["collected_at"].alias("collected_at"), *[o[f].alias(f) for f in FIELDS]))
-    # a record that occurs twice in a block is one record
-    first = F.filter(picked, lambda o, i: F.array_position(F.transform(own_fields, lambda x: low(x["uuid"])), low(o["uuid"])) == i + 1)
-    return e.select("block_id", F.col("r.uuid").alias("group_uuid"), first.alias("members")).where(F.size("members") >= 2)
+    o = blocks.select("block_id", F.explode("original_companies").alias("o")).where("o.uuid IS NOT NULL")
+    values = F.struct(*[real_value(f, F.col(f"o.{f}")).alias(f) for f in FIELDS])
+    o = o.select("block_id", low("o.uuid").alias("k"), F.col("o.uuid").alias("uuid"), F.col("o.source").alias("source"), moment(F.col("o.collected_at")).alias("collected"), values.alias("v"))
+    e = blocks.select("block_id", F.explode(F.transform("resolved_companies", lambda r: F.struct(r["uuid"].alias("uuid"), r["source_uuids"].alias("s")))).alias("r")).where("r.uuid IS NOT NULL")
+    e = e.select("block_id", F.col("r.uuid").alias("group_uuid"), F.explode("r.s").alias("s")).select("block_id", "group_uuid", low("s").alias("k")).where("k IS NOT NULL")
+    return e.distinct().join(o, ["block_id", "k"]).drop("k")
 
 
 def claims(blocks: DataFrame) -> DataFrame:
-    """``(block_id, group_uuid, field_name, source_uuid, source, collected, value, vote)``: each real value of a group's records."""
-    m = groups(blocks).select("block_id", "group_uuid", F.explode("members").alias("m"))
-    each = [F.struct(F.lit(f).alias("field_name"), real_value(f, F.col(f"m.{f}")).alias("value"), same_value(f, real_value(f, F.col(f"m.{f}"))).alias("vote")) for f in FIELDS]
-    m = m.select("block_id", "group_uuid", F.col("m.uuid").alias("source_uuid"), F.col("m.source").alias("source"), moment(F.col("m.collected_at")).alias("collected"), F.explode(F.array(*each)).alias("f"))
-    return m.select("block_id", "group_uuid", "f.field_name", "source_uuid", "source", "collected", "f.value", "f.vote").where("value IS NOT NULL")
+    """``(block_id, group_uuid, field_name, source_uuid, source, value, vote)``: each real value of the records of groups of at least two."""
+    m, g = members(blocks), ["block_id", "group_uuid"]
+    several = m.groupBy(*g).agg(F.min("uuid").alias("lo"), F.max("uuid").alias("hi")).where("lo <> hi").select(*g)
+    each = [F.struct(F.lit(f).alias("field_name"), F.col(f"v.{f}").alias("value"), same_value(f, F.col(f"v.{f}")).alias("vote")) for f in FIELDS]
+    m = m.join(several, g, "left_semi").select(*g, F.col("uuid").alias("source_uuid"), "source", F.explode(F.array(*each)).alias("f"))
+    return m.select(*g, "f.field_name", "source_uuid", "source", "f.value", "f.vote").where("value IS NOT NULL")
 
 
 def _trust(sources: DataFrame) -> DataFrame:
@@ -101,62 +102,85 @@ def _trust(sources: DataFrame) -> DataFrame:
 
 
 def choose(blocks: DataFrame, sources: DataFrame) -> DataFrame:
-    """``(group_uuid, field_name, source_uuid, value)``: for each group and field the claim of the best trust rank
-    (no or unlisted source: last), then the latest, then of the smallest uuid; no row without a real value."""
-    c = claims(blocks).join(_trust(sources), "source", "left")
+    """``(group_uuid, field_name, source_uuid, value)``: for each group of at least two records and each field the claim
+    of the best trust rank (no or unlisted source: last), then the latest, then of the smallest uuid; no row without a
+    real value.
+
+    A record repeated in its block is one record; where its copies differ, the claims of all count.
+    """
+    m = members(blocks).join(_trust(sources), "source", "left")
     # least of the struct: rank (NULL last), -time (missing is oldest), uuid
-    order = F.struct(F.col("trust_rank").isNull().alias("n"), F.col("trust_rank").alias("t"), (-F.coalesce("collected", F.lit(-(2**62)))).alias("c"), F.col("source_uuid").alias("u"))
-    best = c.groupBy("block_id", "group_uuid", "field_name").agg(F.min(F.struct(order.alias("o"), "value")).alias("b"))
-    return best.select("group_uuid", "field_name", F.col("b.o.u").alias("source_uuid"), F.col("b.value").alias("value"))
+    order = F.struct(F.col("trust_rank").isNull().alias("n"), F.col("trust_rank").alias("t"), (-F.coalesce("collected", F.lit(-(2**62)))).alias("c"), F.col("uuid").alias("u"))
+    m = m.select("block_id", "group_uuid", "uuid", order.alias("o"), "v")
+    best = [F.min(F.when(F.col(f"v.{f}").isNotNull(), F.struct("o", F.col(f"v.{f}").alias("value")))).alias(f) for f in FIELDS]
+    m = m.groupBy("block_id", "group_uuid").agg(F.min("uuid").alias("lo"), F.max("uuid").alias("hi"), *best).where("lo <> hi")
+    each = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.o.u").alias("source_uuid"), F.col(f"{f}.value").alias("value")) for f in FIELDS])
+    return m.select("group_uuid", F.inline(each)).where("source_uuid IS NOT NULL")
 
 
 def _log(x: Column) -> Column:
     return F.ln(F.greatest(x, F.lit(1e-9)))
 
 
-def votes(blocks: DataFrame, cut: Cut) -> tuple[DataFrame, dict, dict]:
+def prior_accuracy(names: DataFrame, sources: DataFrame | None) -> DataFrame:
+    """``(source, prior)``: the accuracy of each named source before any evidence: by its trust rank, if ranks are given.
+
+    The best rank has BEST, the worst and sources without a rank WORST, the ranks between lie evenly spaced.
+    """
+    if sources is None:
+        return names.select("source", F.lit(PRIOR_ACCURACY).alias("prior"))
+    ranked = sources.where("name IS NOT NULL AND trust_rank IS NOT NULL").groupBy(F.col("name").alias("source")).agg(F.min("trust_rank").alias("t"))
+    lo, hi = ranked.agg(F.min("t")).scalar(), ranked.agg(F.max("t")).scalar()
+    share = F.coalesce(F.try_divide((F.col("t") - lo).cast("double"), hi - lo), F.lit(0.0))
+    return names.join(lookup(ranked), "source", "left").select("source", F.when(F.col("t").isNull(), WORST).otherwise(BEST - (BEST - WORST) * share).alias("prior"))
+
+
+def votes(blocks: DataFrame, cut: Cut, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The claims by (group, field, vote, source) with their posterior after ROUNDS rounds; accuracies; dependences.
 
-    What is held by the driver has a row for each source or pair of sources that share a group, at most
-    MAX_SOURCES squared in all; the claims stay distributed.
+    ``accuracy(source, accuracy)`` and ``copies(source, other, dependence)`` are tables like the claims, broadcast while
+    they are small.  Two sources' shared votes are joined by the vote, and what they don't share is counted by group
+    and field, so that a group of many records never meets itself.
     """
     g = ["block_id", "group_uuid", "field_name"]
     c = cut.write(claims(blocks).where("source IS NOT NULL").select(*g, "source", "vote").distinct())
-    names = [r[0] for r in c.select("source").distinct().limit(MAX_SOURCES + 1).collect()]
-    if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    accuracy: dict[str, float] = dict.fromkeys(names, PRIOR_ACCURACY)
-    copies: dict[tuple[str, str], float] = {}
-    spark = c.sparkSession
-    scored = None
+    prior = cut.write(prior_accuracy(c.select("source").distinct(), sources))
+    accuracy, copies, scored = prior.select("source", F.col("prior").alias("accuracy")), None, None
+    held = F.count("*").alias("n")
     for r in range(ROUNDS):
-        acc = F.broadcast(spark.createDataFrame([(s, a) for s, a in accuracy.items()] or [("", 0.5)], "source string, accuracy double"))
-        dep = F.broadcast(spark.createDataFrame([(a, b, p) for (a, b), p in copies.items()] or [("", "", 0.0)], "source string, other string, dependence double"))
+        acc = lookup(accuracy)
         x = c.join(acc, "source")
-        # a vote counts for the part that is not copied from a more accurate source of the same value
-        same = c.select(*g, "vote", F.col("source").alias("other")).join(acc.select(F.col("source").alias("other"), F.col("accuracy").alias("a2")), "other")
-        copied = x.join(same, [*g, "vote"]).where("other <> source AND (a2 > accuracy OR (a2 = accuracy AND other < source))").join(dep, ["source", "other"])
-        copied = copied.groupBy(*g, "vote", "source").agg(F.exp(F.sum(_log(1 - COPY_RATE * F.col("dependence")))).alias("own"))
-        x = x.join(copied, [*g, "vote", "source"], "left").withColumn("w", F.coalesce("own", F.lit(1.0)) * (_log(F.col("accuracy") * FALSE_VALUES) - _log(1 - F.col("accuracy"))))
-        v = x.groupBy(*g, "vote").agg(F.sum("w").alias("score"))
-        top = v.groupBy(*g).agg(F.max("score").alias("top"))
-        v = v.join(top, g).withColumn("e", F.exp(F.col("score") - F.col("top")))
+        own = F.lit(1.0)
+        if copies is not None:
+            # a vote counts for the part that is not copied from a more accurate source of the same value
+            model = x.select(*g, "vote", F.col("source").alias("other"), F.col("accuracy").alias("a2"))
+            copied = x.join(model, [*g, "vote"]).where("other <> source AND (a2 > accuracy OR (a2 = accuracy AND other < source))").join(lookup(copies), ["source", "other"])
+            copied = copied.groupBy(*g, "vote", "source").agg(F.exp(F.sum(_log(1 - COPY_RATE * F.col("dependence")))).alias("own"))
+            x, own = x.join(copied, [*g, "vote", "source"], "left"), F.coalesce("own", F.lit(1.0))
+        v = x.groupBy(*g, "vote").agg(F.sum(own * (_log(F.col("accuracy") * FALSE_VALUES) - _log(1 - F.col("accuracy")))).alias("score"))
+        v = v.join(v.groupBy(*g).agg(F.max("score").alias("top")), g).withColumn("e", F.exp(F.col("score") - F.col("top")))
         norm = v.groupBy(*g).agg((F.sum("e") + FALSE_VALUES * F.exp(-F.max("top"))).alias("z"))
         new = cut.write(v.join(norm, g).select(*g, "vote", (F.col("e") / F.col("z")).alias("posterior")))
         if scored is not None:
             cut.free(scored)
         scored = new
+        if r == ROUNDS - 1:
+            break
         p = c.join(scored, [*g, "vote"])
         # the first round's votes may be copies: they only tell dependences
-        got = p.where(F.lit(r > 0)).groupBy("source").agg(((F.sum("posterior") + PRIOR_ACCURACY * PRIOR_WEIGHT) / (F.count("*") + PRIOR_WEIGHT)).alias("a"))
-        accuracy |= {x[0]: min(max(x[1], 0.05), 0.99) for x in got.collect()}
-        est = F.broadcast(spark.createDataFrame(list(accuracy.items()) or [("", 0.5)], "s string, a double"))
-        left = p.join(est, p.source == est.s).select(*g, "vote", F.col("source").alias("s1"), F.col("a").alias("a1"), "posterior")
-        right = c.join(est, c.source == est.s).select(*g, F.col("source").alias("s2"), F.col("a").alias("a2"), F.col("vote").alias("v2"))
-        pair = left.join(right, g).where("s1 < s2").groupBy("s1", "s2").agg(F.sum(evidence(F.expr("vote = v2"), F.col("posterior"), F.col("a1"), F.col("a2"))).alias("e"))
-        copies = {}
-        for s1, s2, e in pair.collect():
-            copies[s1, s2] = copies[s2, s1] = dependence(e)
+        if r:
+            seen = p.groupBy("source").agg(F.sum("posterior").alias("s"), held)
+            told = (F.coalesce("s", F.lit(0.0)) + F.col("prior") * PRIOR_WEIGHT) / (F.coalesce("n", F.lit(0)) + PRIOR_WEIGHT)
+            accuracy = cut.write(prior.join(seen, "source", "left").select("source", F.least(F.greatest(told, F.lit(0.05)), F.lit(0.99)).alias("accuracy")))
+        est = lookup(accuracy)
+        one = p.join(est, "source").select(*g, "vote", F.col("source").alias("s1"), F.col("accuracy").alias("a1"), "posterior")
+        two = c.join(est, "source").select(*g, "vote", F.col("source").alias("s2"), F.col("accuracy").alias("a2"))
+        shared = one.join(two, [*g, "vote"]).where("s1 < s2").groupBy("s1", "s2").agg(F.sum(evidence(F.lit(True), F.col("posterior"), F.col("a1"), F.col("a2"))).alias("e"), held)
+        each = c.groupBy(*g, "source").agg(F.count("*").alias("k"))
+        both = each.select(*g, F.col("source").alias("s1"), F.col("k").alias("k1")).join(each.select(*g, F.col("source").alias("s2"), F.col("k").alias("k2")), g).where("s1 < s2")
+        both = both.groupBy("s1", "s2").agg(F.sum(F.col("k1") * F.col("k2")).alias("all"))
+        pairs = both.join(shared, ["s1", "s2"], "left").select("s1", "s2", dependence(F.coalesce("e", F.lit(0.0)) + (F.col("all") - F.coalesce("n", F.lit(0))) * math.log(1 - COPY_RATE)).alias("dependence"))
+        copies = cut.write(pairs.select(F.explode(F.array(F.struct(F.col("s1").alias("source"), F.col("s2").alias("other"), "dependence"), F.struct(F.col("s2").alias("source"), F.col("s1").alias("other"), "dependence"))).alias("p")).select("p.*"))
     return c.join(scored, [*g, "vote"]), accuracy, copies
 
 
@@ -171,36 +195,32 @@ def evidence(same: Column, true: Column, a1: Column, a2: Column) -> Column:
     return F.when(same, _log(true * dt + (1 - true) * df) - _log(true * pt + (1 - true) * pf)).otherwise(F.lit(math.log(1 - COPY_RATE)))
 
 
-def dependence(log_odds: float, prior: float = 0.2) -> float:
+def dependence(log_odds: Column, prior: float = 0.2) -> Column:
     """Posterior that two sources depend on each other, from the sum of their items' evidence."""
-    x = log_odds + math.log(prior / (1 - prior))
-    return 1 / (1 + math.exp(-max(min(x, 500), -500)))
+    x = F.greatest(F.least(log_odds + math.log(prior / (1 - prior)), F.lit(500.0)), F.lit(-500.0))
+    return 1 / (1 + F.exp(-x))
 
 
 def fuse(blocks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """One surviving record for each group: ``group_uuid``, the seven fields, and ``confidence``, the mean posterior.
 
-    Values without a named source vote with no weight and survive only where nothing else is claimed (then the
-    smallest text).  Ties fall to the smaller value, so that repeated runs agree.
+    ``sources(name, trust_rank)`` give the sources' accuracy before any evidence.  Values without a named source vote
+    with no weight and survive only where nothing else is claimed (then the smallest text).  Ties fall to the smaller
+    value, so that repeated runs agree.
     """
-    cut = Cut(blocks.sparkSession, "fusion")
-    v, _, _ = votes(blocks, cut)
-    v = v.groupBy("block_id", "group_uuid", "field_name", "vote").agg(F.max("posterior").alias("posterior"))
-    all_claims = claims(blocks).groupBy("block_id", "group_uuid", "field_name", "vote").agg(F.min("value").alias("value"))
-    best = all_claims.join(v, ["block_id", "group_uuid", "field_name", "vote"], "left").groupBy("block_id", "group_uuid", "field_name").agg(
-        F.min_by(F.struct("value", "posterior"), F.struct(-F.coalesce("posterior", F.lit(0.0)), F.col("value"))).alias("b")
-    )
+    g = ["block_id", "group_uuid", "field_name"]
+    v, _, _ = votes(blocks, Cut(blocks.sparkSession, "fusion"), sources)
+    v = v.groupBy(*g, "vote").agg(F.max("posterior").alias("posterior"))
+    each = claims(blocks).groupBy(*g, "vote").agg(F.min("value").alias("value"))
+    best = each.join(v, [*g, "vote"], "left").groupBy(*g).agg(F.min_by(F.struct("value", "posterior"), F.struct(-F.coalesce("posterior", F.lit(0.0)), F.col("value"))).alias("b"))
     cols = [F.max(F.when(F.col("field_name") == f, F.col("b.value"))).alias(f) for f in FIELDS]
     out = best.groupBy("block_id", "group_uuid").agg(*cols, F.round(F.avg(F.coalesce("b.posterior", F.lit(0.0))), 6).alias("confidence"))
     return out.select("group_uuid", *[F.col(f).try_cast("bigint").alias(f) if f in NUMBERS else F.col(f) for f in FIELDS], "confidence")
 
 
-def source_accuracy(blocks: DataFrame) -> DataFrame:
+def source_accuracy(blocks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """``(source, accuracy, copies_from, dependence)``: each source's estimated accuracy and its likeliest model, if any is likelier than not."""
-    cut = Cut(blocks.sparkSession, "fusion")
-    _, accuracy, copies = votes(blocks, cut)
-    rows = []
-    for s, a in accuracy.items():
-        p, other = max(((p, o) for (x, o), p in copies.items() if x == s), default=(0.0, None))
-        rows.append((s, round(a, 6), other if p > 0.5 else None, round(p, 6)))
-    return blocks.sparkSession.createDataFrame(rows, "source string, accuracy double, copies_from string, dependence double")
+    _, accuracy, copies = votes(blocks, Cut(blocks.sparkSession, "fusion"), sources)
+    likeliest = copies.groupBy("source").agg(F.max(F.struct("dependence", "other")).alias("m"))
+    out = accuracy.join(likeliest, "source", "left")
+    return out.select("source", F.round("accuracy", 6).alias("accuracy"), F.when(F.col("m.dependence") > 0.5, F.col("m.other")).alias("copies_from"), F.round(F.coalesce("m.dependence", F.lit(0.0)), 6).alias("dependence"))

@@ -10,11 +10,24 @@ DOMAINS = (
     "com org net edu gov mil int io ai co uk us ca au de fr jp cn in br ru it es nl se no dk fi pl mx kr tw sg hk nz ie be ch at cz za il ae sa th vn ph id my pk bd ng ke ug tz gh zm zw"
     " biz info name pro museum coop aero xxx travel mobi tel asia cat jobs post"
 ).split()
-LEGAL_FORMS = "incorporated corporation company limited holdings inc corp co llc ltd plc gmbh ag sa nv bv ab as oy spa lp llp".split()
-STOP_WORDS = "a an and as at by for from in is of on or the to with".split()
+LEGAL_FORMS = (
+    "incorporated corporation company limited holdings inc corp corpn co llc lllp llp lp ltd plc pllc pc pty pte cic gmbh ggmbh mbh ag kg kgaa ohg gbr ug ev eg se sa sarl sas sasu sca scs snc eurl sci"
+    " nv bv vof cv bvba sprl scrl asbl vzw ab hb kb as asa ans da ks aps ivs oy oyj ky spa srl srls sapa ss scarl sl slu slne sll scoop lda ltda eireli kft zrt nyrt kkt rt doo dd ad ead eood ood sro spol"
+    " ou uab sia oao ooo zao pao ao too tov sdn bhd berhad pt tbk pvt kk yk gk"
+).split() + [
+    "gesellschaft mit beschränkter haftung", "aktiengesellschaft", "kommanditgesellschaft", "société anonyme", "sociedad anónima", "sociedad limitada", "società per azioni", "aktiebolag", "aktieselskab", "osakeyhtiö",
+    "naamloze vennootschap", "besloten vennootschap", "limited liability company", "public limited company", "limited partnership", "kabushiki kaisha",
+]
+STOP_WORDS = (
+    "a about above after again all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here"
+    " him his how i if in into is it its itself me more most my no nor not of off on once only or other our out over own same she should so some such than that the their them then there these they this those through"
+    " to too under until up very was we were what when where which while who whom why will with would you your"
+    " le la les des du et der die das und von für el los las y e de het een en van il lo gli di og och"
+).split()
 
 _DOMAIN = r"(?i)\.(" + "|".join(sorted(DOMAINS, key=len, reverse=True)) + ")$"
-_LEGAL = r"(?i)(^|[\s,]+)(" + "|".join(LEGAL_FORMS) + ")$"
+#: A short form may be written with a dot behind each letter.
+_LEGAL = r"(?i)(^|[\s,]+)(" + "|".join(r"\.?".join(w) if len(w) <= 4 else w for w in sorted(LEGAL_FORMS, key=len, reverse=True)) + ")$"
 _TAIL = r"[^\p{L}\p{N})]+$"
 
 

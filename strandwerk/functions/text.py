@@ -23,6 +23,30 @@ EXCHANGES = {
     "CC": "CRYPTO", "COIN": "CRYPTO", "CBT": "CBOT", "CME": "CME", "NYM": "NYMEX", "CMX": "COMEX", "ICE": "ICE", "LME": "LME",
 }
 SCALE_WORDS = {"thousand": 1e3, "million": 1e6, "billion": 1e9}
+# Where a page states its date, in order; where a company page states its facts, in order.
+POSTED = (
+    r'(?i)<meta\s+(?:property|name)="(?:article:published_time|datePublished|publication_date)"\s+content="([^"]+)"',
+    r'(?i)<meta\s+(?:property|name)="(?:og:published_time)"\s+content="([^"]+)"',
+    r'(?i)"datePublished"\s*:\s*"([^"]+)"',
+    r'(?i)<time\s+(?:datetime|pubdate)="([^"]+)"',
+)
+FACTS = {
+    "symbol": (r"NASDAQ:\s*([A-Z]{1,5})", r"NYSE:\s*([A-Z]{1,5})", r"traded as ([A-Z]{1,5})"),
+    "website_url": (r"(?i)(?:official website|website)\s*[\n\r]*([^\s\n]+\.[^\s\n]+)", r"(?i)(?:official website|website)(?:\s+is)?\s+(\S+\.\S+)", r"(?i)(https?://[^\s]+)"),
+    "headquarters_location": (r"(?i)(?:headquartered in|headquarters in|based in)\s+([^,\.\n]+)", r"(?i)headquarters?:\s*([^,\.\n]+)"),
+    "founded_year": (r"(?i)(?:founded|established|incorporated)(?:\s+in)?\s+(\d{4})", r"(?i)(\d{4})\s+(?:founding|establishment)"),
+    "revenue_usd": (
+        r"(?i)annual revenue of (?:US\$)?([\d.,]+)\s*(billion|million)", r"(?i)revenue(?:\s+of)?\s+(?:US\$)?([\d.,]+)\s*(billion|million)",
+        r"(?i)(?:US\$)?([\d.,]+)\s*(billion|million)\s+(?:in\s+)?revenue",
+    ),
+    "employees": (r"(?i)([\d,]+)\s+employees", r"(?i)employs?\s+([\d,]+)", r"(?i)workforce\s+of\s+([\d,]+)"),
+    "ceo": (r"CEO\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", r"chief executive officer\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)", r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\s+(?:is|serves as)\s+(?:the\s+)?CEO"),
+    "linkedin_url": (r"(?i)linkedin\.com/company/([a-zA-Z0-9-]+)",),
+}
+#: Years in which a company can have been founded; words of a chief executive's name.
+FOUNDED, CEO_WORDS = (1800, 2025), (2, 4)
+#: Article pages by site: the URL starts with one of the first or holds one of the second.
+ARTICLE_URLS = {"semianalysis.com": (("https://semianalysis.com/20",), ("/blog/", "/article/"))}
 
 
 def valid_article(title: Column, content: Column) -> Column:
@@ -66,6 +90,12 @@ def page_title(html: Column) -> Column:
     return F.nullif(F.trim(F.split_part(t, F.lit(" | "), F.lit(1))), F.lit(""))
 
 
+def posted_date(html: Column) -> Column:
+    """The date a page states, by the first of POSTED that matches; a bare date is midnight UTC, other notations stay; NULL if none does."""
+    found = F.trim(F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in POSTED]))
+    return F.when(~found.contains("T") & found.rlike("-.*-"), F.concat(found, F.lit("T00:00:00+00:00"))).otherwise(found)
+
+
 def slug_title(slug: Column) -> Column:
     """A slug as a title."""
     return F.initcap(F.regexp_replace(slug, "[-_]+", " "))
@@ -104,6 +134,66 @@ def first_match(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
 
 
+def _first_good(text: Column, patterns, good) -> Column:
+    """The first group of the first pattern whose first match is good; NULL if there is none."""
+    return F.coalesce(*[F.when(good(F.regexp_extract(text, p, 1)), F.regexp_extract(text, p, 1)) for p in patterns])
+
+
+def company_facts(text: Column) -> Column:
+    """A struct of what a company page states: symbol, exchange, website_url, headquarters_location, founded_year, revenue_usd, employees, ceo, linkedin_url.
+
+    Each fact comes from the first of its FACTS whose first match holds: a year within FOUNDED, a name of CEO_WORDS
+    words, an address outside the encyclopedia.  NULL where no pattern holds.
+    """
+    get = lambda k, good=lambda x: x != "": _first_good(text, FACTS[k], good)
+    symbol = F.coalesce(*[F.when(text.rlike(p), F.struct(F.regexp_extract(text, p, 1).alias("symbol"), F.lit(x).cast("string").alias("exchange"))) for p, x in zip(FACTS["symbol"], ("NASDAQ", "NYSE", None))])
+    web = get("website_url", lambda x: (x != "") & ~F.lower(x).contains("wikipedia"))
+    scale = F.create_map(*[F.lit(x) for k, v in SCALE_WORDS.items() for x in (k, v)])
+    revenue = F.coalesce(*[F.when(text.rlike(p), F.regexp_replace(F.regexp_extract(text, p, 1), ",", "").try_cast("double") * scale[F.lower(F.regexp_extract(text, p, 2))]) for p in FACTS["revenue_usd"]])
+    linked = get("linkedin_url")
+    return F.struct(
+        symbol["symbol"].alias("symbol"), symbol["exchange"].alias("exchange"),
+        F.when(web.startswith("http"), web).otherwise(F.concat(F.lit("https://"), web)).alias("website_url"),
+        F.trim(get("headquarters_location")).alias("headquarters_location"),
+        get("founded_year", lambda x: x.try_cast("int").between(*FOUNDED)).try_cast("bigint").alias("founded_year"),
+        revenue.alias("revenue_usd"),
+        F.regexp_replace(get("employees", lambda x: x.rlike(r"\d")), ",", "").try_cast("bigint").alias("employees"),
+        F.trim(get("ceo", lambda x: F.size(F.split(F.trim(x), r"\s+")).between(*CEO_WORDS) & (x != ""))).alias("ceo"),
+        F.concat(F.lit("https://www.linkedin.com/company/"), linked).alias("linkedin_url"),
+    )
+
+
+def article_url(url: Column, rule: tuple[tuple[str, ...], tuple[str, ...]]) -> Column:
+    """Whether a URL is an article page by a site's rule, as those of ARTICLE_URLS; NULL is none."""
+    starts, holds = rule
+    out = F.lit(False)
+    for s in starts:
+        out = out | url.startswith(s)
+    for h in holds:
+        out = out | url.contains(h)
+    return F.coalesce(out, F.lit(False))
+
+
+def recent(date: Column, year: int) -> Column:
+    """The year is at least ``year``, or the date can't be read."""
+    y = F.year(flexible_date(date))
+    return (y >= year) | y.isNull()
+
+
+def thread_document(title: Column, text: Column, comments: Column, most: int = 10) -> Column:
+    """A discussion as one text: title, text, 'Comments:' and the first comments with a dash before each; NULL parts are left out."""
+    own = F.filter(comments, lambda x: x.isNotNull())
+    return F.concat_ws(" ", title, text, F.lit("Comments:"), F.transform(F.slice(own, 1, most), lambda x: F.concat(F.lit("- "), x)))
+
+
+def ticker_of(json: Column) -> Column:
+    """``{symbol, exchange}`` of a ticker as JSON text; exchanges outside the known codes are UNK, texts without a symbol NULL."""
+    from strandwerk.schemas import EXCHANGE_CODES
+
+    x = F.from_json(json, "symbol string, exchange string")
+    return F.when(x["symbol"] != "", F.struct(x["symbol"].alias("symbol"), F.when(x["exchange"].isin(*EXCHANGE_CODES), x["exchange"]).otherwise("UNK").alias("exchange")))
+
+
 def own_or(a: Column, b: Column) -> Column:
     """The own text unless it is missing or empty, else the other's."""
     return F.coalesce(F.nullif(a, F.lit("")), b)

@@ -1,7 +1,7 @@
 """Name blocking: companies with equal name keys, in blocks of bounded size.
 
-Members of a key are numbered without ever standing in one task: within 256 hash slices of the key, then by the sum of
-the slices before.  So a key that holds a third of all rows is split into blocks like any other.
+Members of a key are numbered without ever standing in one task: within hash slices of the key, then by the sum of the
+slices before; sizes and kinds come from the slices too.  So a key that holds a third of all rows is split into blocks like any other.
 """
 
 from __future__ import annotations
@@ -24,30 +24,47 @@ def name_keys(companies: DataFrame, id_col: str = "uuid", name_col: str = "name"
     return c.select("uuid", F.inline(keys)).where("block_key IS NOT NULL").select("block_key", "key_type", "uuid")
 
 
+def members_of(keys: DataFrame) -> DataFrame:
+    """``(block_key, uuid, fw, ac)``: each member of a key once, and whether the key is its first word or its acronym."""
+    return keys.groupBy("block_key", "uuid").agg(F.bool_or(F.col("key_type") == "first_word").alias("fw"), F.bool_or(F.col("key_type") == "acronym").alias("ac"))
+
+
+def kind_of(fw: Column, ac: Column) -> Column:
+    """The kind of a key: first_word, acronym, or combined."""
+    return F.when(fw & ac, "combined").when(fw, "first_word").otherwise("acronym")
+
+
 def key_kinds(keys: DataFrame) -> DataFrame:
     """``(block_key, block_key_type, size)``: keys used as first word and as acronym are ``combined``."""
-    k = keys.groupBy("block_key", "uuid").agg(F.bool_or(F.col("key_type") == "first_word").alias("fw"), F.bool_or(F.col("key_type") == "acronym").alias("ac"))
-    k = k.groupBy("block_key").agg(F.bool_or("fw").alias("fw"), F.bool_or("ac").alias("ac"), F.count("*").alias("size"))
-    return k.select("block_key", F.when(F.col("fw") & F.col("ac"), "combined").when(F.col("fw"), "first_word").otherwise("acronym").alias("block_key_type"), "size")
+    k = members_of(keys).groupBy("block_key").agg(F.bool_or("fw").alias("fw"), F.bool_or("ac").alias("ac"), F.count("*").alias("size"))
+    return k.select("block_key", kind_of(F.col("fw"), F.col("ac")).alias("block_key_type"), "size")
+
 
+def numbered(df: DataFrame, key: str, order: str, flags: tuple[str, ...] = (), digits: int = 3) -> DataFrame:
+    """``df`` with ``pos``, the 1-based position of each row in its key by md5(order), then order, and ``total``, the
+    key's rows; no task sees a whole key.
 
-def numbered(df: DataFrame, key: str, order: str) -> DataFrame:
-    """``df`` with ``pos``, the 1-based position of each row in its key by md5(order), then order; no task sees a whole key."""
+    Keys are cut into slices by the first ``digits`` hex digits of the hash; 3 give 4,096 slices, so that a key of
+    10^10 rows stands in slices of 2.4 million.  ``flags`` are boolean columns; each becomes whether any row of the key has it.
+    """
     h = F.md5(F.col(order))
-    d = df.withColumns({"_h": h, "_slice": F.left(h, F.lit(2))})
-    before = d.groupBy(key, "_slice").agg(F.count("*").alias("_n"))
-    before = before.select(key, "_slice", (F.sum("_n").over(Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    d = d.withColumn("_i", F.row_number().over(Window.partitionBy(key, "_slice").orderBy("_h", order)))
+    d = df.withColumns({"_h": h, "_slice": F.left(h, F.lit(digits))})
+    all_slices = Window.partitionBy(key)
+    before = d.groupBy(key, "_slice").agg(F.count("*").alias("_n"), *[F.bool_or(f).alias(f) for f in flags])
+    before = before.select(
+        key, "_slice", (F.sum("_n").over(all_slices.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"), F.sum("_n").over(all_slices).alias("total"),
+        *[F.max(f).over(all_slices).alias(f) for f in flags],
+    )
+    d = d.drop(*flags).withColumn("_i", F.row_number().over(Window.partitionBy(key, "_slice").orderBy("_h", order)))
     return d.join(before, [key, "_slice"]).withColumn("pos", F.col("_i") + F.col("_before")).drop("_h", "_slice", "_i", "_before")
 
 
 def assign_blocks(keys: DataFrame, max_size: int = MAX_BLOCK) -> DataFrame:
     """``(block_key, block_key_type, uuid)``: the members of each block; keys of more than ``max_size`` members become
     ``<key>_chunk_<n>`` from 1, each of at most that size."""
-    members = numbered(keys.select("block_key", "uuid").distinct(), "block_key", "uuid")
-    m = members.join(key_kinds(keys), "block_key")
+    m = numbered(members_of(keys), "block_key", "uuid", ("fw", "ac"))
     chunk = F.concat(F.col("block_key"), F.lit("_chunk_"), (F.floor((F.col("pos") - 1) / max_size) + 1).cast("string"))
-    return m.select(F.when(F.col("size") > max_size, chunk).otherwise(F.col("block_key")).alias("block_key"), "block_key_type", "uuid")
+    return m.select(F.when(F.col("total") > max_size, chunk).otherwise(F.col("block_key")).alias("block_key"), kind_of(F.col("fw"), F.col("ac")).alias("block_key_type"), "uuid")
 
 
 def build_blocks(companies: DataFrame, max_size: int = MAX_BLOCK, columns: list[str] | None = None) -> DataFrame:
@@ -98,3 +115,18 @@ def filter_blocks(blocks: DataFrame, low: int = 1, high: int | None = None, limi
     b = blocks.where(F.col("block_size") >= low)
     b = b.where(F.col("block_size") <= high) if high else b
     return b.orderBy(F.desc("block_size"), "block_key").limit(limit) if limit else b
+
+
+def combine_blocks(names: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(block_key, block_key_type, member)``: blocks by name ``(block_key, block_key_type, uuid)`` and by vector ``(block_key, vec_id)`` in one table, each kind with its own keys."""
+    v = vectors.select("block_key", F.lit("semantic").alias("block_key_type"), F.col("vec_id").cast("string").alias("member"))
+    return names.select("block_key", "block_key_type", F.col("uuid").alias("member")).unionByName(v)
+
+
+def stage_metrics(companies: DataFrame, blocks: DataFrame, top: int = 10) -> DataFrame:
+    """One row: input_companies, blocks_created, largest_block (0 without blocks), and top_blocks, the largest by ``block_size`` (ties by key)."""
+    n = F.coalesce("block_size", F.lit(0))
+    first = blocks.where("block_size IS NOT NULL").orderBy(F.desc("block_size"), "block_key").limit(top).agg(F.array_sort(F.collect_list(F.struct((-F.col("block_size")).alias("s"), "block_key"))).alias("t"))
+    row = blocks.agg(F.count("*").alias("blocks_created"), F.coalesce(F.max(n), F.lit(0)).cast("bigint").alias("largest_block"))
+    row = row.select(companies.agg(F.count("*")).scalar().alias("input_companies"), "blocks_created", "largest_block")
+    return row.join(F.broadcast(first), F.lit(True)).select("input_companies", "blocks_created", "largest_block", F.transform("t", lambda x: F.struct(x["block_key"].alias("block_key"), (-x["s"]).alias("block_size"))).alias("top_blocks"))

@@ -83,6 +83,14 @@ def field_catalog(raw: DataFrame) -> DataFrame:
     return c.select("feed", "file_no", "field", "lines", "filled", kind.alias("json_type"))
 
 
+def type_profile(raw: DataFrame) -> DataFrame:
+    """``(field, json_type, lines, most)``: how many valid lines give a field each type, nulls aside, and the most common type (ties by name)."""
+    f = _fields(valid_lines(raw)).select("field", json_type(F.col("value")).alias("json_type")).where("json_type IS NOT NULL")
+    n = f.groupBy("field", "json_type").agg(F.count("*").alias("lines"))
+    top = n.groupBy("field").agg(F.min_by("json_type", F.struct(-F.col("lines"), "json_type")).alias("top"))
+    return n.join(top, "field").select("field", "json_type", "lines", (F.col("json_type") == F.col("top")).alias("most"))
+
+
 def file_order(raw: DataFrame) -> DataFrame:
     """``(feed, file_no, pos, prev_file, next_file)``: the files of each feed in order."""
     w = Window.partitionBy("feed").orderBy("file_no")

@@ -72,3 +72,48 @@ def reduction_by_round(sizes: DataFrame) -> DataFrame:
     pct = lambda a: F.round(100 - F.try_divide(F.lit(100.0) * F.col("rows"), F.col(a)), 6)
     with_first = sizes.join(before, "iteration", "left").withColumn("_f", sizes.agg(F.min_by("rows", "iteration")).scalar())
     return with_first.select("iteration", "rows", pct("_b").alias("reduction_pct"), pct("_f").alias("overall_pct"))
+
+
+def known_uuids(inputs: DataFrame, rounds: DataFrame) -> DataFrame:
+    """``(u, since)``: every uuid of the original records (``since`` 0) and of all rounds' outputs, with the first round it came out of."""
+    first = lambda df, r: df.select(clean_uuid(F.col("uuid")).alias("u"), r.alias("since")).where("u IS NOT NULL")
+    return first(inputs, F.lit(0).cast("bigint")).unionByName(first(rounds, F.col("iteration").cast("bigint"))).groupBy("u").agg(F.min("since").alias("since"))
+
+
+def round_metrics(inputs: DataFrame, blocks: DataFrame, rounds: DataFrame) -> DataFrame:
+    """The 23 metrics of each round, one row a round, from original records ``(uuid)``, ``blocks(iteration)`` and
+    ``rounds(iteration, uuid, source_uuids, match_skip, match_skip_reason)``, the entries that came out.
+
+    Entries skipped by matching count as rows, the others by their different uuids.  A listed uuid is valid if it is
+    an original record's or came out of an earlier round; entries that name no record are invalid.  Shares are 0
+    where nothing was, as the first round's are for a second one without rows.
+    """
+    n = lambda df, **cols: df.groupBy("iteration").agg(*[c.alias(k) for k, c in cols.items()])
+    skip = F.coalesce("match_skip", F.lit(False))
+    all_in = inputs.select(clean_uuid(F.col("uuid")).alias("u"))
+    first = all_in.where("u IS NOT NULL").distinct()
+    total, unique = inputs.agg(F.count("*")).scalar(), first.agg(F.count("*")).scalar()
+    r = rounds.withColumn("u", clean_uuid(F.col("uuid")))
+    rows = n(r, rows=F.count("*"), skipped_records=F.count_if(skip), ids_dropped_by_matching=F.count_if(F.coalesce(F.col("match_skip_reason") == "missing_in_match_output", F.lit(False))))
+    made = r.where(~skip).where("u IS NOT NULL").select("iteration", "u").distinct()
+    again = n(made.join(first, "u", "left_semi"), uuid_overlap_with_original_count=F.count("*"))
+    refs = r.select("iteration", F.explode("source_uuids").alias("s")).select("iteration", clean_uuid(F.col("s")).alias("u"))
+    # each uuid of a round is looked up once, however often it is listed
+    counted = refs.groupBy("iteration", "u").agg(F.count("*").alias("k")).join(known_uuids(inputs, rounds), "u", "left")
+    valid = F.coalesce(F.col("since") < F.col("iteration"), F.lit(False))
+    listed = n(counted, total_source_uuid_refs=F.sum("k"), unique_source_uuids=F.count("u"), valid_source_uuid_count=F.coalesce(F.sum(F.when(valid, F.col("k"))), F.lit(0)), tracked_original_uuids=F.count_if(F.col("since") == 0))
+    m = rows.join(n(blocks, total_blocks=F.count("*")), "iteration", "left").join(n(made, unique_matched=F.count("*")), "iteration", "left").join(again, "iteration", "left").join(listed, "iteration", "left")
+    before = rows.select((F.col("iteration") + 1).alias("iteration"), F.col("rows").alias("_b"))
+    m = m.join(before, "iteration", "left").na.fill(0)
+    m = m.withColumns({"total_original_companies": total, "_unique": unique, "iteration_input_companies": F.when(F.col("iteration") > 1, F.col("_b")).otherwise(total)})
+    m = m.withColumn("companies_that_went_into_matching", F.col("total_original_companies") - F.col("skipped_records"))
+    m = m.withColumns({"reduction_from_matching": F.col("companies_that_went_into_matching") - F.col("unique_matched"), "total_output_companies": F.col("unique_matched") + F.col("skipped_records")})
+    m = m.withColumns({"total_reduction": F.col("total_original_companies") - F.col("total_output_companies"), "invalid_source_uuid_count": F.col("total_source_uuid_refs") - F.col("valid_source_uuid_count")})
+    pct = lambda a, b: F.round(F.when(F.col(b) > 0, 100.0 * F.col(a) / F.col(b)).otherwise(F.lit(0.0)), 6)
+    into = "companies_that_went_into_matching"
+    return m.select(
+        "iteration", "total_blocks", "iteration_input_companies", "total_original_companies", into, "skipped_records", "unique_matched", "reduction_from_matching", pct("reduction_from_matching", into).alias("reduction_from_matching_pct"),
+        "ids_dropped_by_matching", pct("ids_dropped_by_matching", into).alias("ids_dropped_by_matching_pct"), "total_output_companies", "total_reduction", pct("total_reduction", "total_original_companies").alias("total_reduction_pct"),
+        "uuid_overlap_with_original_count", pct("uuid_overlap_with_original_count", "unique_matched").alias("uuid_overlap_with_original_pct"), "unique_source_uuids", "tracked_original_uuids", pct("tracked_original_uuids", "_unique").alias("original_coverage_pct"),
+        "total_source_uuid_refs", "valid_source_uuid_count", "invalid_source_uuid_count", pct("invalid_source_uuid_count", "total_source_uuid_refs").alias("source_uuid_error_pct"),
+    )

@@ -7,6 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwerk.functions.text import flexible_date
+from strandwerk.operators.joins import lookup
+
 # XBRL tags of each financial concept, in order of priority.
 CONCEPTS = {
     "EntityRegistrantName": ["dei:EntityRegistrantName"],
@@ -52,10 +55,44 @@ def latest_facts(facts: DataFrame) -> DataFrame:
 
 def concept_values(facts: DataFrame, concepts: DataFrame) -> DataFrame:
     """``(entity, concept, tag, val, end)``: for each concept the latest fact of the first tag in priority that has any."""
-    x = latest_facts(facts.where("val IS NOT NULL AND end IS NOT NULL")).join(F.broadcast(concepts), "tag")
+    x = latest_facts(facts.where("val IS NOT NULL AND end IS NOT NULL")).join(lookup(concepts), "tag")
     return x.groupBy("entity", "concept").agg(F.min_by(F.struct("tag", "val", "end"), "tag_rank").alias("f")).select("entity", "concept", "f.tag", "f.val", "f.end")
 
 
+def recent_form(facts: DataFrame, form: str, year: int) -> DataFrame:
+    """The facts of ``facts(form, filed, ...)`` reported in a form and filed in the year or later; unreadable dates are none."""
+    filed = F.col("filed") if dict(facts.dtypes)["filed"] in ("date", "timestamp") else flexible_date(F.col("filed"))
+    return facts.where((F.col("form") == form) & (F.year(filed) >= year))
+
+
+def company_facts(facts: DataFrame, concepts: DataFrame, form: str, year: int) -> DataFrame:
+    """``(entity, concept, tag, val, end)``: each concept's value by tag priority, then recency, among the facts of one form filed lately enough."""
+    return concept_values(recent_form(facts, form, year), concepts)
+
+
+def facts_in_context(facts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``facts(doc, context_id, ...)`` with ``end`` and ``dims`` of their ``contexts(doc, context_id, end, dims)``; facts of no context have no row."""
+    c = contexts.groupBy("doc", "context_id").agg(F.min(F.struct("dims", "end")).alias("c"))
+    return facts.drop("end", "dims").join(c.select("doc", "context_id", F.col("c.end").alias("end"), F.col("c.dims").alias("dims")), ["doc", "context_id"])
+
+
+def instance_values(facts: DataFrame, contexts: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``(doc, end, concept, tag, val)``: for each concept and period of an instance the fact of the first tag in
+    priority, of those without dimensions first, then the first seen; ``facts(doc, context_id, tag, val, seq)``."""
+    x = facts_in_context(facts, contexts).where("val IS NOT NULL AND end IS NOT NULL").join(lookup(concepts), "tag")
+    order = F.struct("tag_rank", (F.col("dims") > 0).alias("d"), "seq")
+    return x.groupBy("doc", "end", "concept").agg(F.min_by(F.struct("tag", "val"), order).alias("f")).select("doc", "end", "concept", "f.tag", "f.val")
+
+
+def distinct_symbols(*tables: DataFrame, col: str = "ticker") -> DataFrame:
+    """``(ticker)``: the different symbols of several tables; NULL and empty ones are none."""
+    out = None
+    for df in tables:
+        part = df.select(F.col(col).alias("ticker")).where("ticker <> ''")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
 def in_filing_window(facts: DataFrame, days: int = 150) -> DataFrame:
     """The facts filed after their period's end, within so many days."""
     gap = F.datediff("filed", "end")

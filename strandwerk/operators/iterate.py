@@ -9,6 +9,11 @@ from strandwerk.operators import blocking, matching
 from strandwerk.session import Cut
 
 
+def one_each(df: DataFrame, key: str = "uuid") -> DataFrame:
+    """One row for each key, the least of its rows, so that the pick doesn't depend on their order."""
+    return df.groupBy(key).agg(F.min(F.struct(*df.columns)).alias("r")).select("r.*")
+
+
 def resolve(companies: DataFrame, max_size: int = 50, rounds: int = 5, matcher: matching.Matcher = matching.same_name) -> DataFrame:
     """``companies(uuid, id, name, ..., source_uuids)`` resolved: block by name, merge each block, repeat on the result.
 
@@ -21,7 +26,7 @@ def resolve(companies: DataFrame, max_size: int = 50, rounds: int = 5, matcher:
     n = now.count()
     for i in range(1, rounds + 1):
         keys = blocking.name_keys(now)
-        members = blocking.assign_blocks(keys, max_size).select("block_key", "uuid").join(now.dropDuplicates(["uuid"]), "uuid")
+        members = blocking.assign_blocks(keys, max_size).select("block_key", "uuid").join(one_each(now), "uuid")
         rest = now.join(keys, "uuid", "left_anti")
         merged = matching.merge_members(members, i, matcher)
         pick = [c for c in cols if c in merged.columns]
@@ -29,7 +34,7 @@ def resolve(companies: DataFrame, max_size: int = 50, rounds: int = 5, matcher:
         # an entry whose records are all in another, larger entry adds nothing
         uses = merged.select("uuid", F.size("source_uuids").alias("n"), F.explode("source_uuids").alias("s"))
         best = uses.groupBy("s").agg(F.min_by("uuid", F.struct(-F.col("n"), F.col("uuid"))).alias("uuid"))
-        keep = merged.dropDuplicates(["uuid"]).join(best, "uuid", "left_semi")
+        keep = one_each(merged).join(best, "uuid", "left_semi")
         new = cut.write(keep.unionByName(rest.select("uuid", *pick, "source_uuids")))
         m = new.count()
         cut.free(now)

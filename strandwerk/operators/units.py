@@ -112,8 +112,9 @@ def normalize_units(relationships: DataFrame, sources: DataFrame, rates: DataFra
     as it stands).  NULL, zero and negative values keep the unit the note gives; NULLs stay NULL.
     Repeated rows come out once; an empty table gives an empty table.
     """
-    r = relationships.select("rel_id", "source", "description", "amount", "currency", "percentage").where("amount IS NOT NULL OR percentage IS NOT NULL").dropDuplicates(["rel_id"])
-    note = lookup(sources.select(F.col("name").alias("source"), "note").dropDuplicates(["source"]))
+    r = relationships.select("rel_id", "source", "description", "amount", "currency", "percentage").where("amount IS NOT NULL OR percentage IS NOT NULL")
+    r = r.groupBy("rel_id").agg(F.min(F.struct(*r.columns)).alias("r")).select("r.*")
+    note = lookup(sources.groupBy(F.col("name").alias("source")).agg(F.min("note").alias("note")))
     r = r.join(note, "source", "left")
     money = _nearest(stated_money(F.col("description")), F.abs("amount"), {"one": 1.0, "thousand": 1e3, "million": 1e6, "billion": 1e9})
     share = _nearest(stated_percent(F.col("description")), F.abs("percentage"), {"percent": 1.0, "fraction": 100.0, "basis_point": 0.01}, of=F.lit(1))
@@ -136,7 +137,7 @@ def normalize_units(relationships: DataFrame, sources: DataFrame, rates: DataFra
     size = _map({"one": 1.0, "thousand": 1e3, "million": 1e6, "billion": 1e9})
     part = _map({"percent": 1.0, "fraction": 100.0, "basis_point": 0.01})
     r = r.withColumns({"amount_full": F.col("amount") * size[F.col("amount_unit")], "percent": F.col("percentage") * part[F.col("percentage_unit")]})
-    usd = lookup(rates.select(F.col("currency").alias("currency_code"), "usd_per_unit").dropDuplicates(["currency_code"]))
+    usd = lookup(rates.groupBy(F.col("currency").alias("currency_code")).agg(F.min("usd_per_unit").alias("usd_per_unit")))
     return r.join(usd, "currency_code", "left").select(
         "rel_id", "amount", "currency", "percentage", "amount_unit", "amount_full", "currency_code", F.expr("amount_full * usd_per_unit").alias("amount_usd"),
         "percentage_unit", "percent", "amount_unique", "percentage_unique",

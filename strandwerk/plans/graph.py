@@ -124,7 +124,7 @@ def n10_local_ids(spark, d):
 
 @R.add()
 def e10_resolve_rounds(spark, d):
-    c = t(spark, d, "companies").where("uuid IS NOT NULL").dropDuplicates(["uuid"]).select("uuid", "id", "name", "description", "cik", "website_url", "revenue_usd", F.array().cast("array<string>").alias("source_uuids"))
+    c = iterate.one_each(t(spark, d, "companies").where("uuid IS NOT NULL")).select("uuid", "id", "name", "description", "cik", "website_url", "revenue_usd", F.array().cast("array<string>").alias("source_uuids"))
     return iterate.resolve(c, rounds=3).select("uuid", "name", F.array_join("source_uuids", "|").alias("source_uuids"))
 
 
@@ -136,14 +136,49 @@ _CLEAN = lambda x: _UU.format(f"regexp_replace(regexp_replace(lower({x}), '[{{}}
     f"""WITH b AS (SELECT iteration, count(*) AS blocks, count(error) AS errors, sum(coalesce(len(original_companies), 0)) AS originals, sum(coalesce(len(resolved_companies), 0)) AS resolved, count_if(coalesce(was_resolved, false)) AS resolved_blocks FROM blocks GROUP BY iteration),
  m AS (SELECT iteration, r FROM (SELECT iteration, unnest(resolved_companies) AS r FROM blocks) WHERE r.uuid IS NOT NULL), s AS (SELECT iteration, count_if(coalesce(r.match_skip, false)) AS skipped, count(DISTINCT r.uuid) AS entities FROM m GROUP BY iteration),
  l AS (SELECT DISTINCT iteration, {_CLEAN('u')} AS u FROM (SELECT iteration, unnest(r.source_uuids) AS u FROM m)), o AS (SELECT DISTINCT iteration, {_CLEAN('u')} AS u FROM (SELECT iteration, unnest(original_companies).uuid AS u FROM blocks)),
- c AS (SELECT o.iteration, count(*) AS inputs, count(l.u) AS covered FROM o LEFT JOIN l ON l.iteration = o.iteration AND l.u = o.u WHERE o.u IS NOT NULL GROUP BY o.iteration)
+ c AS (SELECT o.iteration, count(*) AS inputs, count(l.u) AS covered FROM o LEFT JOIN l ON l.iteration = o.iteration AND l.u = o.u WHERE o.u IS NOT NULL GROUP BY o.iteration),
+ kn AS (SELECT u, min(i) AS since FROM (SELECT u, iteration AS i FROM o UNION ALL SELECT {_CLEAN('r.uuid')}, iteration + 1 FROM m) WHERE u IS NOT NULL GROUP BY u),
+ rf AS (SELECT iteration, count(*) AS refs, count_if(since <= iteration) AS valid_refs FROM (SELECT iteration, {_CLEAN('s')} AS u FROM (SELECT DISTINCT iteration, r.uuid AS e, unnest(r.source_uuids) AS s FROM m) WHERE s IS NOT NULL) LEFT JOIN kn USING (u) GROUP BY iteration),
+ md AS (SELECT DISTINCT iteration, {_CLEAN('r.uuid')} AS u FROM m WHERE NOT coalesce(r.match_skip, false)), ov AS (SELECT md.iteration, count(*) AS made, count(o.u) AS overlap FROM md LEFT JOIN o ON o.iteration = md.iteration AND o.u = md.u WHERE md.u IS NOT NULL GROUP BY md.iteration)
  SELECT iteration, blocks::BIGINT AS blocks, errors::BIGINT AS errors, originals::BIGINT AS originals, resolved::BIGINT AS resolved, resolved_blocks::BIGINT AS resolved_blocks, skipped::BIGINT AS skipped, entities::BIGINT AS entities, inputs::BIGINT AS inputs, covered::BIGINT AS covered,
- round(100.0::DOUBLE * covered / inputs, 6) AS coverage_pct, round(100.0::DOUBLE * errors / blocks, 6) AS error_pct, round(100 - 100.0::DOUBLE * resolved / originals, 6) AS reduction_pct FROM b JOIN s USING (iteration) JOIN c USING (iteration)"""
+ round(100.0::DOUBLE * covered / inputs, 6) AS coverage_pct, round(100.0::DOUBLE * errors / blocks, 6) AS error_pct, round(100 - 100.0::DOUBLE * resolved / originals, 6) AS reduction_pct,
+ refs::BIGINT AS refs, valid_refs::BIGINT AS valid_refs, (refs - valid_refs)::BIGINT AS invalid_refs, made::BIGINT AS made, overlap::BIGINT AS overlap, round(100.0::DOUBLE * (refs - valid_refs) / refs, 6) AS invalid_pct, round(100.0::DOUBLE * overlap / made, 6) AS overlap_pct
+ FROM b JOIN s USING (iteration) JOIN c USING (iteration) JOIN rf USING (iteration) JOIN ov USING (iteration)"""
 )
 def e9_a7_metrics(spark, d):
     return evaluate.metrics(t(spark, d, "blocks"))
 
 
+_A7 = f"""WITH first AS (SELECT DISTINCT u FROM (SELECT {_CLEAN('uuid')} AS u FROM companies) WHERE u IS NOT NULL), r AS (SELECT iteration, {_CLEAN('uuid')} AS u, coalesce(match_skip, false) AS sk, match_skip_reason AS reason FROM resolved_companies),
+ n AS (SELECT iteration, count(*) AS n, count_if(sk) AS s, count_if(reason = 'missing_in_match_output') AS dr FROM r GROUP BY iteration), made AS (SELECT DISTINCT iteration, u FROM r WHERE NOT sk AND u IS NOT NULL), md AS (SELECT iteration, count(*) AS n FROM made GROUP BY iteration),
+ ov AS (SELECT iteration, count(*) AS n FROM made JOIN first USING (u) GROUP BY iteration), kn AS (SELECT u, min(since) AS since FROM (SELECT u, 0 AS since FROM first UNION ALL SELECT u, iteration FROM r WHERE u IS NOT NULL) GROUP BY u),
+ rf AS (SELECT iteration, {_CLEAN('s')} AS u FROM (SELECT iteration, unnest(source_uuids) AS s FROM resolved_companies)),
+ ls AS (SELECT iteration, count(*) AS t, count(DISTINCT rf.u) AS un, count_if(since < iteration) AS v, count(DISTINCT CASE WHEN since = 0 THEN rf.u END) AS tr FROM rf LEFT JOIN kn USING (u) GROUP BY iteration),
+ b AS (SELECT iteration, count(*) AS n FROM blocks GROUP BY iteration), tot AS (SELECT count(*) AS n, (SELECT count(*) FROM first) AS u FROM companies),
+ x AS (SELECT n.iteration, coalesce(b.n, 0) AS blocks, CASE WHEN n.iteration > 1 THEN coalesce(p.n, 0) ELSE tot.n END AS inp, tot.n AS total, tot.u AS uniq, tot.n - n.s AS into_, n.s AS sk, coalesce(md.n, 0) AS um, n.dr, coalesce(ov.n, 0) AS ov, coalesce(un, 0) AS un, coalesce(tr, 0) AS tr, coalesce(ls.t, 0) AS t, coalesce(v, 0) AS v
+  FROM n CROSS JOIN tot LEFT JOIN b ON b.iteration = n.iteration LEFT JOIN n p ON p.iteration = n.iteration - 1 LEFT JOIN md ON md.iteration = n.iteration LEFT JOIN ov ON ov.iteration = n.iteration LEFT JOIN ls ON ls.iteration = n.iteration)"""
+_PCT = lambda a, b: f"round(CASE WHEN {b} > 0 THEN 100.0::DOUBLE * ({a}) / ({b}) ELSE 0 END, 6)::DOUBLE"
+
+
+def _rounds(spark, d):
+    return t(spark, d, "resolved_companies").select("iteration", "uuid", "source_uuids", "match_skip", "match_skip_reason")
+
+
+@R.add(
+    _A7 + f""" SELECT iteration, blocks::BIGINT AS total_blocks, inp::BIGINT AS iteration_input_companies, total::BIGINT AS total_original_companies, into_::BIGINT AS companies_that_went_into_matching, sk::BIGINT AS skipped_records, um::BIGINT AS unique_matched,
+ (into_ - um)::BIGINT AS reduction_from_matching, {_PCT('into_ - um', 'into_')} AS reduction_from_matching_pct, dr::BIGINT AS ids_dropped_by_matching, {_PCT('dr', 'into_')} AS ids_dropped_by_matching_pct, (um + sk)::BIGINT AS total_output_companies,
+ (total - um - sk)::BIGINT AS total_reduction, {_PCT('total - um - sk', 'total')} AS total_reduction_pct, ov::BIGINT AS uuid_overlap_with_original_count, {_PCT('ov', 'um')} AS uuid_overlap_with_original_pct, un::BIGINT AS unique_source_uuids, tr::BIGINT AS tracked_original_uuids,
+ {_PCT('tr', 'uniq')} AS original_coverage_pct, t::BIGINT AS total_source_uuid_refs, v::BIGINT AS valid_source_uuid_count, (t - v)::BIGINT AS invalid_source_uuid_count, {_PCT('t - v', 't')} AS source_uuid_error_pct FROM x"""
+)
+def a7_round_metrics(spark, d):
+    return evaluate.round_metrics(t(spark, d, "companies"), t(spark, d, "blocks"), _rounds(spark, d))
+
+
+@R.add(_A7 + " SELECT u, since::BIGINT AS since FROM kn")
+def so7_known_uuids(spark, d):
+    return evaluate.known_uuids(t(spark, d, "companies"), _rounds(spark, d))
+
+
 @R.add("SELECT coalesce(r.match_skip, false) AS match_skip, coalesce(r.match_skip_reason, '') AS reason, count(*)::BIGINT AS entries FROM (SELECT unnest(resolved_companies) AS r FROM blocks) WHERE r.uuid IS NOT NULL GROUP BY ALL")
 def a8_f6_skip_reasons(spark, d):
     return evaluate.skip_reasons(t(spark, d, "blocks"))
@@ -181,7 +216,7 @@ _LIN = f"""one AS (SELECT DISTINCT uuid, {SQL.match_key('name')} AS n, website_u
 
 
 def _rel(spark, d):
-    return t(spark, d, "relationships").dropDuplicates(["rel_id"])
+    return t(spark, d, "relationships").distinct()
 
 
 def _links(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandwerk import schemas
 from strandwerk.functions import text as T
-from strandwerk.operators import dedup, html, kv
+from strandwerk.operators import dedup, graph, html, kv
 from strandwerk.plans.registry import Registry, table
 from strandwerk.sources import readers
 
@@ -30,10 +30,12 @@ def f10_ignored_urls(spark, d):
     return t(spark, d, "documents").where("url IS NOT NULL").select("url", T.host(u).alias("host"), T.ignored(u, ["chipledger.example", "grid-rack.example"]).alias("ignored")).distinct()
 
 
-@R.add("SELECT doc_id FROM documents WHERE starts_with(url, 'https://') AND contains(url, '/d/') AND NOT contains(url, 'forum')")
+_SITE = (("https://grid-rack.example/",), ("/d/1", "/story/"))
+
+
+@R.add("SELECT doc_id, coalesce(starts_with(url, 'https://grid-rack.example/') OR contains(url, '/d/1') OR contains(url, '/story/'), false) AS article FROM documents")
 def f11_article_urls(spark, d):
-    u = F.col("url")
-    return t(spark, d, "documents").where(u.startswith("https://") & u.contains("/d/") & ~u.contains("forum")).select("doc_id")
+    return t(spark, d, "documents").select("doc_id", T.article_url(F.col("url"), _SITE).alias("article"))
 
 
 _PAGE = "'<html><head><title>' || title || ' | Site</title></head><body><a href=\"' || url || '\">x</a> <img src=''https://img.example/' || doc_id::VARCHAR || '.png''><a href=\"/local\">l</a> see https://plain.example/' || doc_id::VARCHAR || ' and ' || url || '</body></html>'"
@@ -61,6 +63,17 @@ def x18_page_titles(spark, d):
     return _pages(spark, d).select("doc_id", T.page_title(F.col("html")).alias("page_title"))
 
 
+_DATED = ("<meta property=\"article:published_time\" content=\"{}\">", "<meta name=\"og:published_time\" content=\"{}\"> <time datetime=\"x\">", "<script>{{\"datePublished\" : \"{}\"}}</script>", "<p><time datetime=\"{}\"></p>", "<p>{}</p>")
+_STATED = "CASE WHEN doc_id % 2 = 0 THEN strftime(posted_at, '%Y-%m-%d') ELSE strftime(posted_at, '%Y-%m-%dT%H:%M:%SZ') END"
+
+
+@R.add(f"SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN CASE WHEN doc_id % 2 = 0 THEN {_STATED} || 'T00:00:00+00:00' ELSE {_STATED} END END AS posted FROM documents WHERE posted_at IS NOT NULL")
+def x18_posted_dates(spark, d):
+    stated = F.when(F.col("doc_id") % 2 == 0, F.date_format("posted_at", "yyyy-MM-dd")).otherwise(F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    page = F.element_at(F.array(*[F.concat(F.lit(a.replace("{{", "{").replace("}}", "}")), stated, F.lit(b.replace("{{", "{").replace("}}", "}"))) for a, b in (x.split("{}") for x in _DATED)]), (F.col("doc_id") % 5).cast("int") + 1)
+    return t(spark, d, "documents").where("posted_at IS NOT NULL").select("doc_id", T.posted_date(page).alias("posted"))
+
+
 @R.add()
 def x14_x15_html_text(spark, d):
     p = _pages(spark, d).select("doc_id", "html", html.html_to_text(F.col("html")).alias("text"))
@@ -75,20 +88,47 @@ def x19_excerpts(spark, d):
 @R.add("SELECT article_id, concat_ws(' ', title, summary, 'Comments:') || coalesce(' ' || array_to_string(list_transform(list_filter(companies, lambda c: c IS NOT NULL AND c.name IS NOT NULL)[1:10], lambda c: '- ' || c.name), ' '), '') AS doc FROM articles WHERE len(list_filter(companies, lambda c: c IS NOT NULL AND c.name IS NOT NULL)) > 0")
 def x20_thread_documents(spark, d):
     names = F.filter(F.transform("companies", lambda c: c["name"]), lambda n: n.isNotNull())
-    comments = F.transform(F.slice(names, 1, 10), lambda n: F.concat(F.lit("- "), n))
-    return t(spark, d, "articles").where(F.size(names) > 0).select("article_id", F.concat_ws(" ", "title", "summary", F.lit("Comments:"), comments).alias("doc"))
+    return t(spark, d, "articles").where(F.size(names) > 0).select("article_id", T.thread_document(F.col("title"), F.col("summary"), names).alias("doc"))
+
+
+_RX = lambda p, i=1: f"regexp_extract(x, '{p}', {i})"
+_GOOD = lambda k, ok: "coalesce(" + ", ".join(f"CASE WHEN {ok.format(_RX(p))} THEN {_RX(p)} END" for p in T.FACTS[k]) + ")"
+_ANY = lambda k: _GOOD(k, "{} <> ''")
+_MONEY = "coalesce(" + ", ".join(f"CASE WHEN {_RX(p)} <> '' THEN try_cast(replace({_RX(p)}, ',', '') AS DOUBLE) * CASE lower({_RX(p, 2)}) WHEN 'billion' THEN 1e9 ELSE 1e6 END END" for p in T.FACTS["revenue_usd"]) + ")"
+_WEB = _GOOD("website_url", "{0} <> '' AND NOT contains(lower({0}), 'wikipedia')")
+#: Documents as company pages: their own text behind facts of their row, so that every kind of fact occurs.
+_ABOUT = "text || ' It is traded as ' || upper(left(coalesce(lang, 'x'), 2)) || chr(10) || 'Official website ' || coalesce(url, 'n.a') || chr(10) || 'annual revenue of US$' || (doc_id % 90 + 1)::VARCHAR || '.5 billion, CEO Ann Bo Cole' || chr(10) || 'see linkedin.com/company/c-' || doc_id::VARCHAR || ' '"
 
 
 @R.add(
-    """SELECT doc_id, coalesce(nullif(regexp_extract(text, 'Founded in (\\d{4})', 1), ''), nullif(regexp_extract(text, 'since (\\d{4})', 1), '')) AS founded,
- coalesce(nullif(regexp_extract(text, 'employs about ([\\d,]+) people', 1), ''), nullif(regexp_extract(text, 'covering ([\\d,]+) technicians', 1), '')) AS employees FROM documents WHERE text IS NOT NULL"""
+    f"""SELECT doc_id, {_ANY('symbol')} AS symbol, CASE WHEN {_RX(T.FACTS['symbol'][0])} <> '' THEN 'NASDAQ' WHEN {_RX(T.FACTS['symbol'][1])} <> '' THEN 'NYSE' END AS exchange, CASE WHEN starts_with({_WEB}, 'http') THEN {_WEB} ELSE 'https://' || {_WEB} END AS website_url,
+ trim({_ANY('headquarters_location')}) AS headquarters_location, try_cast({_GOOD('founded_year', 'try_cast({} AS INT) BETWEEN 1800 AND 2025')} AS BIGINT) AS founded_year, {_MONEY} AS revenue_usd,
+ try_cast(replace({_GOOD('employees', "regexp_matches({}, '[0-9]')")}, ',', '') AS BIGINT) AS employees, {_GOOD('ceo', "{0} <> '' AND len(regexp_split_to_array({0}, '[ ]+')) BETWEEN 2 AND 4")} AS ceo, 'https://www.linkedin.com/company/' || {_ANY('linkedin_url')} AS linkedin_url
+ FROM (SELECT doc_id, {_ABOUT} AS x FROM documents WHERE text IS NOT NULL)"""
 )
 def x21_facts_by_patterns(spark, d):
-    x = F.col("text")
-    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.first_match(x, [r"Founded in (\d{4})", r"since (\d{4})"]).alias("founded"), T.first_match(x, [r"employs about ([\d,]+) people", r"covering ([\d,]+) technicians"]).alias("employees"))
+    c, s = F.col, lambda x: F.col(x).cast("string")
+    about = F.concat(
+        c("text"), F.lit(" It is traded as "), F.upper(F.left(F.coalesce(c("lang"), F.lit("x")), F.lit(2))), F.lit("\nOfficial website "), F.coalesce(c("url"), F.lit("n.a")), F.lit("\nannual revenue of US$"), (c("doc_id") % 90 + 1).cast("string"),
+        F.lit(".5 billion, CEO Ann Bo Cole\nsee linkedin.com/company/c-"), s("doc_id"), F.lit(" "),
+    )
+    return t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.company_facts(about).alias("f")).select("doc_id", "f.*")
+
 
+def _wiki_sql(x: str) -> str:
+    """The steps of wiki mark-up as replacements in SQL."""
+    steps = [("(?s)<ref[^>]*?/>|<ref[^>]*>.*?</ref>", ""), ("\\{\\{[^{}]*\\}\\}", ""), ("\\{\\{[^{}]*\\}\\}", "")]
+    steps += [(f"(?m)^={{{n}}}\\s*(.*?)\\s*={{{n}}}\\s*$", "#" * n + " \\1") for n in range(6, 1, -1)]
+    steps += [("\\[\\[(?:[^|\\]]*\\|)?((?:[^\\]]|\\][^\\]])*\\]?)\\]\\]", "\\1"), ("\\[(https?://\\S+)\\s+([^\\]]+)\\]", "[\\2](\\1)"), ("'''", "**"), ("''", "*")]
+    for a, b in steps:
+        x = "regexp_replace({}, '{}', '{}', 'g')".format(x, a.replace("'", "''"), b)
+    return x
 
-@R.add("SELECT doc_id, '## ' || title || chr(10) || '**bold** *it* ' || title || ' [text](https://a.example/x) ' AS md FROM documents WHERE title IS NOT NULL AND NOT regexp_matches(title, '[\\[\\]{}''=|<>\\\\$\\r\\n]') AND title = trim(title)")
+
+_WIKI = "'== ' || title || ' ==' || chr(10) || '''''''bold'''''' ''''it'''' [[page|' || title || ']] [https://a.example/x text] {{note|x {{y}}}}<ref name=''a''/>'"
+
+
+@R.add(f"SELECT doc_id, {_wiki_sql(_WIKI)} AS md FROM documents WHERE title IS NOT NULL")
 def x22_wiki_markdown(spark, d):
     c = F.col("title")
     src = F.concat(F.lit("== "), c, F.lit(" ==\n'''bold''' ''it'' [[page|"), c, F.lit("]] [https://a.example/x text] {{note|x {{y}}}}<ref name='a'/>"))
@@ -115,15 +155,14 @@ def x25_flexible_dates(spark, d):
     return b.select("s", T.flexible_date(F.col("s")).alias("d"))
 
 
-@R.add("SELECT event_id, strftime(make_timestamp(event_id * 86400 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events WHERE event_id < 20000")
+@R.add("SELECT event_id, strftime(make_timestamp(event_id * 86400 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")
 def x26_epoch_iso(spark, d):
     return t(spark, d, "events").select("event_id", T.epoch_iso(F.col("event_id") * 86400).alias("iso"))
 
 
 @R.add("SELECT DISTINCT rel_id FROM relationships WHERE try_cast(left(date, 4) AS INT) >= 2023 OR try_cast(date AS DATE) IS NULL")
 def f12_year_filter(spark, d):
-    y = F.year(T.flexible_date(F.col("date")))
-    return t(spark, d, "relationships").where((y >= 2023) | y.isNull()).select("rel_id").distinct()
+    return t(spark, d, "relationships").where(T.recent(F.col("date"), 2023)).select("rel_id").distinct()
 
 
 _EX = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.EXCHANGES.items())
@@ -140,8 +179,8 @@ _KNOWN = tuple(schemas.EXCHANGE_CODES)
 
 @R.add(f"SELECT DISTINCT article_id, x.symbol AS symbol, CASE WHEN x.exchange IN {_KNOWN} THEN x.exchange ELSE 'UNK' END AS exchange FROM (SELECT article_id, unnest(tickers) AS x FROM articles) WHERE x.symbol IS NOT NULL AND x.symbol <> ''")
 def x28_f14_tickers(spark, d):
-    js = t(spark, d, "articles").select("article_id", F.explode("tickers").alias("x")).select("article_id", F.from_json(F.to_json("x"), "symbol string, exchange string").alias("x")).where("x.symbol <> ''")
-    return js.select("article_id", "x.symbol", F.when(F.col("x.exchange").isin(*_KNOWN), F.col("x.exchange")).otherwise("UNK").alias("exchange")).distinct()
+    js = t(spark, d, "articles").select("article_id", F.explode("tickers").alias("x")).select("article_id", T.ticker_of(F.to_json("x")).alias("x"))
+    return js.where("x IS NOT NULL").select("article_id", "x.symbol", "x.exchange").distinct()
 
 
 @R.add("SELECT DISTINCT cik, lpad(ltrim(cik, '0'), 10, '0') AS padded, regexp_replace(title, '[^A-Za-z0-9._-]+', '_', 'g') AS file_name FROM sec_list WHERE title IS NOT NULL")
@@ -184,17 +223,27 @@ def a12_w2_majority(spark, d):
     return dedup.majority(t(spark, d, "companies").where("website_url IS NOT NULL"), "website_url", "headquarters_location")
 
 
-@R.add("SELECT feed_name, file_no, payload->>'$.uuid' AS uuid, payload->>'$.name' AS name FROM (SELECT feed_name, file_no, CASE WHEN json_valid(payload) AND regexp_matches(payload, '^\\s*\\{.*\\}\\s*$') THEN payload::JSON END AS payload FROM raw_files WHERE entity = 'companies') WHERE payload IS NOT NULL AND json_type(payload, '$.name') = 'VARCHAR'")
+_OBJECT = "CASE WHEN json_valid(payload) AND regexp_matches(payload, '^\\s*\\{.*\\}\\s*$') THEN payload::JSON END"
+
+
+@R.add(f"SELECT p->>'$.uuid' AS uuid, p->>'$.name' AS name, p->>'$.jurisdiction' AS jurisdiction FROM (SELECT {_OBJECT} AS p FROM raw_files) WHERE p IS NOT NULL")
 def s5_s6_tolerant_lines(spark, d):
-    raw = t(spark, d, "raw_files").where("entity = 'companies'").where(F.try_parse_json("payload").isNotNull() & F.col("payload").rlike(r"^\s*\{.*\}\s*$"))
-    o = raw.select("feed_name", "file_no", F.try_parse_json("payload").alias("v")).where(F.schema_of_variant(F.try_variant_get("v", "$.name", "variant")) == "STRING")
-    return o.select("feed_name", "file_no", F.try_variant_get("v", "$.uuid", "string").alias("uuid"), F.try_variant_get("v", "$.name", "string").alias("name"))
+    return readers.parse_lines(t(spark, d, "raw_files"), "uuid string, name string, jurisdiction string")
 
 
-@R.add("SELECT lpad(cik, 10, '0') AS cik, ticker AS symbol, title AS name, exchange FROM sec_list WHERE ticker IS NOT NULL")
+@R.add("SELECT layout, lpad(cik, 10, '0') AS cik, ticker AS symbol, title AS name, CASE WHEN layout <> 'numbered' THEN exchange END AS exchange FROM sec_list, (VALUES ('fields'), ('numbered'), ('lines')) AS l(layout) WHERE ticker IS NOT NULL")
 def s7_s8_p14_securities(spark, d):
-    rows = t(spark, d, "sec_list").select(F.to_json(F.struct(F.col("cik").alias("cik_str"), "ticker", "title", "exchange")).alias("payload"))
-    return readers.securities(rows, "lines")
+    s = t(spark, d, "sec_list")
+    text = F.collect_list(F.to_json(F.array(F.coalesce("cik", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("ticker", F.lit("")), F.coalesce("exchange", F.lit("")))))
+    whole = s.where("ticker IS NOT NULL AND cik IS NOT NULL AND title IS NOT NULL AND exchange IS NOT NULL").agg(F.concat(F.lit('{"fields":["cik","name","ticker","exchange"],"data":['), F.array_join(text, ","), F.lit("]}")).alias("payload"))
+    part = F.to_json(F.struct(F.col("cik").alias("cik_str"), "ticker", "title"))
+    numbered = s.select(F.concat(F.lit('{"0":'), part, F.lit("}")).alias("payload"))
+    lines = s.select(F.to_json(F.struct(F.col("cik").alias("cik_str"), "ticker", "title", "exchange")).alias("payload"))
+    out = None
+    for layout, rows in (("fields", whole), ("numbered", numbered), ("lines", lines)):
+        x = readers.securities(rows, layout).select(F.lit(layout).alias("layout"), "*")
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 @R.add("SELECT id, uuid, name, cik, revenue_usd, employees, founded_year, NULL::VARCHAR AS match_skip_reason, jurisdiction FROM companies")
@@ -206,7 +255,8 @@ def p1_p9_normalized_companies(spark, d):
 @R.add("SELECT rel_id, country.common_name AS country_common_name, country.iso_2 AS country_iso_2, coalesce(array_to_string(list_filter(technologies, lambda x: x IS NOT NULL), ', '), '') AS technologies, coalesce(len(technologies), 0)::INTEGER AS n_technologies FROM (SELECT DISTINCT * FROM relationships)")
 def p12_p6_flat_columns(spark, d):
     r = t(spark, d, "relationships").distinct()
-    return r.select("rel_id", F.col("country.common_name").alias("country_common_name"), F.col("country.iso_2").alias("country_iso_2"), F.coalesce(F.array_join("technologies", ", "), F.lit("")).alias("technologies"), F.greatest(F.coalesce(F.size("technologies"), F.lit(0)), F.lit(0)).alias("n_technologies"))
+    flat = schemas.flat_columns(r.select("rel_id", F.struct("country.common_name", "country.iso_2").alias("country"), "technologies"))
+    return flat.select("rel_id", "country_common_name", "country_iso_2", "technologies", "n_technologies")
 
 
 @R.add("SELECT relationship, count(*)::BIGINT AS rows FROM relationships GROUP BY relationship")
@@ -218,7 +268,7 @@ def a20_g8_counts(spark, d):
 
 @R.add("SELECT count(*)::BIGINT AS rows, count(DISTINCT uuid)::BIGINT AS ids, count(name)::BIGINT AS names, coalesce(sum(employees), 0)::BIGINT AS employees FROM companies")
 def a22_a5_totals(spark, d):
-    return t(spark, d, "companies").agg(F.count("*").alias("rows"), F.count_distinct("uuid").alias("ids"), F.count("name").alias("names"), F.coalesce(F.sum("employees"), F.lit(0)).alias("employees"))
+    return graph.totals(t(spark, d, "companies"), "uuid", "name", "employees").select("rows", F.col("ids"), F.col("known").alias("names"), F.col("total").alias("employees"))
 
 
 @R.add("SELECT DISTINCT uuid, name FROM companies UNION ALL SELECT DISTINCT uuid, title FROM sec_list")
@@ -229,3 +279,14 @@ def so2_so4_so5_union(spark, d):
 @R.add("SELECT name, uuid FROM companies WHERE name IS NOT NULL ORDER BY name, uuid LIMIT 100")
 def l4_l5_sorted_names(spark, d):
     return t(spark, d, "companies").where("name IS NOT NULL").select("name", "uuid").orderBy("name", "uuid").limit(100)
+
+
+@R.add("SELECT article_id, ((row_number() OVER (ORDER BY collected_at DESC NULLS LAST, article_id) - 1) // 100 + 1)::BIGINT AS batch FROM articles")
+def l9_newest_batches(spark, d):
+    return dedup.newest_batches(t(spark, d, "articles").select("article_id", "collected_at"), "collected_at", "article_id").select("article_id", "batch")
+
+
+@R.add("SELECT rel_id, country.iso_2 IS NULL AS no_code, country.iso_2 AS code, coalesce(technologies, []) = [] AS no_list FROM (SELECT DISTINCT * FROM relationships) WHERE country IS NOT NULL")
+def p13_without_nulls(spark, d):
+    j = t(spark, d, "relationships").distinct().where("country IS NOT NULL").select("rel_id", schemas.without_nulls(F.struct(F.struct("country.iso_2").alias("country"), F.nullif(F.col("technologies"), F.array().cast("array<string>")).alias("technologies"))).alias("j"))
+    return j.select("rel_id", (~F.col("j").contains('"iso_2"')).alias("no_code"), F.get_json_object("j", "$.country.iso_2").alias("code"), (~F.col("j").contains('"technologies"')).alias("no_list"))

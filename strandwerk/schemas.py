@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, MapType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
 TICKER = "struct<id:bigint,uuid:string,symbol:string,exchange:string>"
 COMPANY = (
@@ -62,6 +62,32 @@ def widen(kind: DataType) -> DataType:
     return kind
 
 
+#: Fields of nested objects that hold references by number.
+ID_FIELDS = ("id", "manufacturer", "developer", "src_company", "dst_company", "products", "technologies", "segment_ids", "source_ids")
+
+
+def ids_as_text(kind: DataType, names: tuple[str, ...] = ID_FIELDS) -> DataType:
+    """A type with the integers (or lists of them) of the named fields as strings, at any depth, as after a re-keying to uuids."""
+    if isinstance(kind, ArrayType):
+        return ArrayType(ids_as_text(kind.elementType, names), kind.containsNull)
+    if isinstance(kind, StructType):
+        fields = []
+        for f in kind.fields:
+            t = ids_as_text(f.dataType, names)
+            if f.name in names and isinstance(t, (IntegerType, LongType)):
+                t = StringType()
+            elif f.name in names and isinstance(t, ArrayType) and isinstance(t.elementType, (IntegerType, LongType)):
+                t = ArrayType(StringType(), t.containsNull)
+            fields.append(StructField(f.name, t, f.nullable))
+        return StructType(fields)
+    return kind
+
+
+def without_nulls(c: Column) -> Column:
+    """A nested value as JSON text without its NULL fields, at any depth; NULL elements of lists stay."""
+    return F.to_json(c, {"ignoreNullFields": "true"})
+
+
 def normalize_companies(df: DataFrame, keep_extra: bool = False) -> DataFrame:
     """The canonical company columns in order, cast; typed NULLs for missing ones; other columns dropped or kept behind."""
     fields = schema_of(COMPANY).fields
@@ -77,3 +103,30 @@ def require(df: DataFrame, columns: tuple[str, ...] = BLOCK_FIELDS) -> DataFrame
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def flat_columns(df: DataFrame, separator: str = ", ") -> DataFrame:
+    """``df`` for flat sinks: each struct's fields as ``<column>_<field>``, each list as text beside its size ``n_<column>``.
+
+    NULL and empty lists give an empty text and 0; NULL elements are left out of the text but counted.  A made name
+    that another column has gets an underscore behind.
+    """
+    taken, out = {f.name.lower() for f in df.schema.fields}, []
+
+    def name(n: str) -> str:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        return n
+
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, StructType):
+            out += [c.getField(g.name).alias(name(f"{f.name}_{g.name}")) for g in f.dataType.fields]
+        elif isinstance(f.dataType, ArrayType):
+            scalar = not isinstance(f.dataType.elementType, (StructType, ArrayType, MapType))
+            text = F.array_join(c.cast("array<string>"), separator) if scalar else F.to_json(c)
+            out += [F.coalesce(text, F.lit("")).alias(f.name), F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).alias(name(f"n_{f.name}"))]
+        else:
+            out.append(c)
+    return df.select(*out)

@@ -36,6 +36,8 @@ def shared_folder(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="strandwerk-")
     atexit.register(shutil.rmtree, made, True)
     spark.sparkContext.setCheckpointDir("file://" + made)

@@ -61,3 +61,40 @@ def xbrl_candidates(files: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return x.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(order)))
+
+
+def read_zipped_csv(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The CSV files inside the ZIP archives of a path, each as a table by its name without suffix, types inferred.
+
+    An archive is opened by one task, which gives the files' lines with their place; broken archives give none.
+    """
+    import io
+    import zipfile
+
+    from pyspark.sql import Row
+
+    def lines(file: tuple[str, bytes]):
+        try:
+            with zipfile.ZipFile(io.BytesIO(file[1])) as z:
+                for n in sorted(n for n in z.namelist() if n.lower().endswith(".csv")):
+                    with z.open(n) as f:
+                        for i, line in enumerate(io.TextIOWrapper(f, "utf-8-sig", errors="replace")):
+                            yield Row(name=n.rpartition("/")[2][:-4], archive=file[0], line_no=i, line=line.rstrip("\r\n"))
+        except zipfile.BadZipFile:
+            return
+
+    files = spark.sparkContext.binaryFiles(path)
+    rows = spark.createDataFrame(files.flatMap(lines), "name string, archive string, line_no bigint, line string")
+    names = [r.name for r in rows.select("name").distinct().orderBy("name").collect()]
+    own = lambda n: rows.where(F.col("name") == n)
+    # a file's header is its first line; lines keep their own order within an archive's task
+    return {n: spark.read.option("header", True).option("inferSchema", True).option("enforceSchema", False).csv(own(n).select("line").rdd.map(lambda r: r.line)) for n in names}
+
+
+def zipped_csv_to_parquet(spark: SparkSession, path: str, folder: str) -> list[str]:
+    """One Parquet table below ``folder`` for each CSV file inside the ZIP archives of a path; the tables' paths."""
+    out = []
+    for name, df in read_zipped_csv(spark, path).items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+        out.append(f"{folder}/{name}.parquet")
+    return out

@@ -94,6 +94,49 @@ def test_name_keys_and_variants(spark):
     assert variants.variant_pairs(df.limit(0)).count() == 0
 
 
+def test_ordinary_names_alone(spark):
+    one = [
+        ("Siemens AG", "Simens AG"), ("Nokia Corporation", "Nokia Corp"), ("International Business Machines", "Internationl Business Machines Corp."), ("Bank of New York Mellon", "Bank of New York Melon"), ("3M Company", "3M Co"), ("Robert Smith Holdings", "Bob Smith Holdings"),
+        ("Volkswagen AG", "Volkswagon"), ("Toyota Motor Corporation", "Motor Toyota Corp."), ("JPMorgan Chase & Co.", "JPMorgan Chase"), ("Johnson & Johnson", "Jonhson and Johnson"), ("Procter & Gamble Co", "Procter and Gamble"), ("Lockheed Martin Corp", "Lockhead Martin"), ("Koninklijke Philips N.V.", "Koninklijke Phillips NV"),
+        ("Nestlé S.A.", "NESTLE SA"), ("Berkshire Hathaway Inc", "Hathaway Berkshire"), ("Hewlett-Packard Company", "Hewlett Packard"), ("Mitsubishi Heavy Industries", "Mitsubishi Heavy Inds."), ("Ernst & Young Global", "Ernst Young Global Ltd"),
+    ]
+    apart = [("American Express", "American Express Bank"), ("General Electric Company", "General Electric Aviation Ltd"), ("First National Bank", "First National Trust"), ("Deutsche Bank AG", "Deutsche Post AG"), ("United Airlines", "United Technologies"), ("Delta Air Lines", "Delta Dental"), ("Ford Motor", "Ford Foundation")]
+    names = sorted({n for p in one + apart for n in p})
+    rows = [(n, n, None, None, None, None, None) for n in names]
+    got = {tuple(r) for r in variants.variant_pairs(spark.createDataFrame(rows, "uuid string, name string, description string, cik string, website_url string, linkedin_url string, headquarters_location string")).collect()}
+    want = {tuple(sorted(p)) for p in one}
+    assert len(got & want) >= 0.9 * len(want), want - got
+    assert len(got & want) >= 0.9 * len(got) and not got & {tuple(sorted(p)) for p in apart}, got - want
+
+
+def test_longer_words_allow_two_edits(spark):
+    random.seed(12)
+    names = []
+    for i in range(60):
+        w = "".join(random.choice("bdfgklmnprst") + random.choice("aeiou") for _ in range(random.randint(3, 8)))
+        t = list(w)
+        for _ in range(random.choice([0, 1, 2])):
+            j = random.randrange(len(t))
+            t[j : j + 1] = random.choice([[], [random.choice("xz")], [t[j], random.choice("xz")]])
+        names += [(2 * i, [w, "alpha", "beta"]), (2 * i + 1, ["alpha", "".join(t), "beta"] if i % 3 == 0 else ["beta", "".join(t), "alpha"][::-1] if i % 3 == 1 else ["".join(t), "alpha", "beta"])]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    k = lambda n: 0 if n < variants.EDITS[0] else 1 if n < variants.EDITS[1] else 2
+    near = lambda a, b: distance(a, b) <= k(min(len(a), len(b)))
+    orders = lambda w: [x[i:] + x[:i] for x in (w, w[::-1]) for i in range(len(w))]
+    want = {(i, j) for i, a in names for j, b in names if i < j and any(all(map(near, a, o)) for o in orders(b))}
+    got = {tuple(r) for r in variants.near_cores(spark.createDataFrame(names, "core bigint, w array<string>")).collect()}
+    assert want <= got and len(got - want) <= 2
+
+
 def test_segment_join_against_brute_force(spark):
     random.seed(2)
     syl = [c + v for c in "bdfgklmnprst" for v in "aeiou"]

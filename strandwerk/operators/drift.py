@@ -1,7 +1,8 @@
 """Schemas that drift between files: what each file's fields are, each change, and one consistent table.
 
-The catalogue of field lifespans is an aggregate of the lines (feed, file, field) with the counts of each JSON
-type; starts and endings are islands in the feed's order of files; a rename is an ending and a start in the same
+The files are JSON lines without footers, so the catalogue of field lifespans is an aggregate of the lines (feed, file,
+field) with the counts of each JSON type.  Islands in the feed's order of files give starts, endings and changes of
+type; a rename is an ending and a start in the same
 file that hold the same values for the same record.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwerk.operators.joins import lookup
 from strandwerk.session import Cut
 
 #: JSON types in the order that breaks a tie between equally frequent ones.
@@ -31,8 +33,14 @@ RELATIONSHIP_FIELDS = {
 }
 
 
-def valid_lines(raw: DataFrame) -> DataFrame:
-    """``(feed, file_no, line, v)``: the lines whose payload is one JSON object, as VARIANT, ``line`` a hash of its text; other lines don't count."""
+def valid_lines(raw: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """``(feed, file_no, line, v)``: the lines whose payload is one JSON object, as VARIANT, ``line`` a hash of its text; other lines don't count.
+
+    ``files(feed, file_no)``: only the lines of these are parsed.
+    """
+    if files is not None:
+        named = files.select(F.col("feed").alias("feed_name"), "file_no")
+        raw = raw.join(lookup(named), ["feed_name", "file_no"], "left_semi")
     v = F.try_parse_json(F.when(F.col("payload").rlike(r"(?s)^\s*\{.*\}\s*$"), F.col("payload")))
     return raw.select(F.col("feed_name").alias("feed"), "file_no", F.xxhash64("payload").alias("line"), v.alias("v")).where("v IS NOT NULL AND feed IS NOT NULL AND file_no IS NOT NULL")
 
@@ -98,13 +106,22 @@ def file_order(raw: DataFrame) -> DataFrame:
     return files.select("feed", "file_no", F.row_number().over(w).alias("pos"), F.lag("file_no").over(w).alias("prev_file"), F.lead("file_no").over(w).alias("next_file"))
 
 
-def lifespans(raw: DataFrame) -> DataFrame:
-    """``(feed, field, json_type, first_file, last_file, files)``: each unbroken stretch of files in which a feed's field has one type."""
+def islands(raw: DataFrame) -> DataFrame:
+    """``(feed, field, json_type, p0, p1, first_file, last_file, prev_file, next_file, files)``: each unbroken stretch of
+    files, from position ``p0`` to ``p1``, in which a feed's field has one type; ``prev_file`` and ``next_file`` are the feed's files around it."""
     spans = field_catalog(raw).join(file_order(raw), ["feed", "file_no"])
     w = Window.partitionBy("feed", "field").orderBy("pos")
     broken = (F.col("pos") - F.lag("pos").over(w) != 1) | ~F.col("json_type").eqNullSafe(F.lag("json_type").over(w))
     spans = spans.withColumn("island", F.sum(F.coalesce(broken, F.lit(True)).cast("int")).over(w))
-    return spans.groupBy("feed", "field", "island").agg(F.first("json_type").alias("json_type"), F.min("file_no").alias("first_file"), F.max("file_no").alias("last_file"), F.count("*").alias("files")).drop("island")
+    return spans.groupBy("feed", "field", "island").agg(
+        F.min("json_type").alias("json_type"), F.min("pos").alias("p0"), F.max("pos").alias("p1"), F.min("file_no").alias("first_file"), F.max("file_no").alias("last_file"),
+        F.min_by("prev_file", "pos").alias("prev_file"), F.max_by("next_file", "pos").alias("next_file"), F.count("*").alias("files"),
+    ).drop("island")
+
+
+def lifespans(raw: DataFrame) -> DataFrame:
+    """``(feed, field, json_type, first_file, last_file, files)``: the ``islands`` by their files."""
+    return islands(raw).select("feed", "field", "json_type", "first_file", "last_file", "files")
 
 
 def field_changes(raw: DataFrame) -> DataFrame:
@@ -115,22 +132,21 @@ def field_changes(raw: DataFrame) -> DataFrame:
     any valid line has no fields.  An empty table gives an empty report.
     """
     cut = Cut(raw.sparkSession, "drift")
-    spans = cut.write(field_catalog(raw).join(file_order(raw), ["feed", "file_no"]))
-    w = Window.partitionBy("feed", "field").orderBy("pos")
-    spans = spans.select("*", F.lag("pos").over(w).alias("p"), F.lead("pos").over(w).alias("n"), F.lag("json_type").over(w).alias("type_before"))
-    starts = spans.where("pos > 1 AND (p IS NULL OR pos - p > 1)").select("feed", "file_no", "prev_file", F.lit("added").alias("change"), "field", "json_type")
-    endings = spans.where("next_file IS NOT NULL AND (n IS NULL OR n - pos > 1)").select("feed", F.col("next_file").alias("file_no"), F.col("file_no").alias("prev_file"), F.lit("removed").alias("change"), "field", "json_type")
-    retyped = spans.where("pos - p = 1 AND json_type <> type_before").select("feed", "file_no", F.col("field").alias("before"), F.col("field").alias("after"))
+    spans = cut.write(islands(raw))
+    w = Window.partitionBy("feed", "field").orderBy("p0")
+    spans = spans.select("*", F.lag("p1").over(w).alias("p"), F.lead("p0").over(w).alias("n"), F.lag("json_type").over(w).alias("type_before"))
+    starts = spans.where("p0 > 1 AND (p IS NULL OR p0 - p > 1)").select("feed", F.col("first_file").alias("file_no"), "prev_file", F.lit("added").alias("change"), "field", "json_type")
+    endings = spans.where("next_file IS NOT NULL AND (n IS NULL OR n - p1 > 1)").select("feed", F.col("next_file").alias("file_no"), F.col("last_file").alias("prev_file"), F.lit("removed").alias("change"), "field", "json_type")
+    retyped = spans.where("p0 - p = 1 AND json_type <> type_before").select("feed", F.col("first_file").alias("file_no"), F.col("field").alias("before"), F.col("field").alias("after"))
     edges = cut.write(starts.unionByName(endings))
     both = edges.groupBy("feed", "file_no", "prev_file").agg(F.count_if(F.col("change") == "added").alias("a"), F.count_if(F.col("change") == "removed").alias("r")).where("a > 0 AND r > 0").select("feed", "file_no", "prev_file")
     # the values of the fields that come or go in a file where some come and some go
     sides = both.select("feed", F.col("file_no").alias("at"), F.explode(F.array(F.struct(F.col("file_no").alias("file_no"), F.lit("added").alias("change")), F.struct(F.col("prev_file").alias("file_no"), F.lit("removed").alias("change")))).alias("s")).select("feed", "at", "s.file_no", "s.change")
-    sides = cut.write(sides)
-    lines = valid_lines(raw).join(sides.select("feed", "file_no").distinct(), ["feed", "file_no"], "left_semi")
-    values = _fields(lines).select("feed", "file_no", "record", "field", plain_value(F.col("value")).alias("x")).where("record IS NOT NULL AND x IS NOT NULL")
-    values = values.withColumn("x", F.xxhash64("x")).join(sides, ["feed", "file_no"])
-    values = values.join(edges.select("feed", F.col("file_no").alias("at"), "change", "field"), ["feed", "at", "change", "field"], "left_semi").distinct()
-    values = cut.write(values)
+    wanted = cut.write(sides.join(edges.select("feed", F.col("file_no").alias("at"), "change", "field"), ["feed", "at", "change"]))
+    # only the values of those fields are read as scalars
+    lines = valid_lines(raw, wanted.select("feed", "file_no").distinct())
+    values = _fields(lines).join(lookup(wanted), ["feed", "file_no", "field"]).select("feed", "at", "change", "field", "record", plain_value(F.col("value")).alias("x"))
+    values = cut.write(values.where("record IS NOT NULL AND x IS NOT NULL").withColumn("x", F.xxhash64("x")).distinct())
     old = values.where("change = 'removed'").select("feed", "at", "record", F.col("field").alias("before"), F.col("x").alias("x0"))
     new = values.where("change = 'added'").select("feed", "at", "record", F.col("field").alias("after"), F.col("x").alias("x1"))
     pairs = old.join(new, ["feed", "at", "record"]).groupBy("feed", "at", "before", "after").agg(F.count_if(F.expr("x0 = x1")).alias("same"), F.count("*").alias("shared"))

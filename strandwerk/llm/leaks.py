@@ -2,26 +2,31 @@
 
 A leak is a run of at least RUN words of an item, in order, of which at most one in SEVENTH is replaced or left out.
 Pigeonhole: such a run falls into at most errors + 1 exact parts, so that at least HITS of the item's pieces of PIECE
-words occur exactly in the document.  The pieces of all items are found in one pass over the document by an
-automaton; documents with enough hits of an item are verified by Myers' bit-parallel distance over words.
+words occur exactly in the document.  The pieces of all items of a block are looked up by their hashes in one pass over
+the document; documents with enough hits of an item are verified by Myers' bit-parallel distance over words.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandwerk.llm.plain import words
 
 RUN, SEVENTH, PIECE = 20, 7, 4
 #: Exact pieces that every leak holds: M words in at most E + 1 parts hold M - (PIECE - 1)(E + 1) pieces; least for 21 words with 3 errors.
 HITS = 6
-#: Items are a stated query set: they are broadcast in blocks of so many.
-BLOCK = 4_000
+#: Items are a stated query set: they are broadcast in blocks of so many (about 50 MB of pieces in a worker).
+BLOCK = 50_000
+#: Words whose hashes a worker remembers.
+_MEMORY = 500_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def least_hits() -> int:
@@ -75,11 +80,19 @@ def leaks(item: list[str], doc: list[str], hits: list[tuple[int, int]]) -> bool:
     tried: set[tuple[int, int]] = set()
     reach = len(item) // SEVENTH + 1
     by_doc = sorted((j, i) for i, j in hits)
-    starts = [j for j, _ in by_doc]
+    # the pieces within the stretch that a run over this piece could cover, counted as the stretch moves on
+    near: dict[int, int] = defaultdict(int)
+    lo = hi = 0
     for j, i in by_doc:
-        # enough pieces within the stretch that a run over this piece could cover
-        near = by_doc[bisect_left(starts, j - len(item) - reach) : bisect_left(starts, j + len(item) + reach)]
-        if len({x for _, x in near}) < HITS:
+        while hi < len(by_doc) and by_doc[hi][0] < j + len(item) + reach:
+            near[by_doc[hi][1]] += 1
+            hi += 1
+        while by_doc[lo][0] < j - len(item) - reach:
+            near[by_doc[lo][1]] -= 1
+            if not near[by_doc[lo][1]]:
+                del near[by_doc[lo][1]]
+            lo += 1
+        if len(near) < HITS:
             continue
         while i and j and item[i - 1] == doc[j - 1]:
             i, j = i - 1, j - 1
@@ -98,51 +111,66 @@ def leaks(item: list[str], doc: list[str], hits: list[tuple[int, int]]) -> bool:
     return False
 
 
+class Words(dict):
+    """Words to their hashes of 64 bits."""
+
+    def __missing__(self, w: str) -> int:
+        h = int.from_bytes(blake2b(w.encode(), digest_size=8).digest())
+        if len(self) < _MEMORY:
+            self[w] = h
+        return h
+
+    def pieces(self, ws: list[str]) -> np.ndarray:
+        """The hashes of all pieces of PIECE words, by their first word."""
+        h = np.fromiter((self[w] for w in ws), np.uint64, len(ws))
+        n = max(len(ws) - PIECE + 1, 0)
+        out = np.zeros(n, np.uint64)
+        for k in range(PIECE):
+            out = (out + h[k : k + n]) * _MIX
+            out ^= out >> np.uint64(29)
+        return out
+
+
 class Index:
-    """The pieces of a block of items in an automaton."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        import ahocorasick
-
-        self.items = {i: words(t) for i, t in items if t}
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for i, w in self.items.items():
-            if len(w) >= RUN:
-                for k in range(len(w) - PIECE + 1):
-                    where[" ".join(w[k : k + PIECE])].append((i, k))
-        self.find = ahocorasick.Automaton()
-        for p, at in where.items():
-            self.find.add_word(f" {p} ", (len(p) + 1, at))
-        self.empty = not where
-        self.find.make_automaton()
-
-    def found(self, text: str) -> list[int]:
-        """The items that leak into a text."""
+    """The pieces of a block of items by their hashes; words are compared before anything counts as a leak."""
+
+    def __init__(self, items: list[tuple]):
+        self.words = Words()
+        self.ids = [i for i, t in items if t]
+        self.texts = [words(t) for _, t in items if t]
+        self.items = dict(zip(self.ids, self.texts))
+        long = [i for i, w in enumerate(self.texts) if len(w) >= RUN]
+        each = [self.words.pieces(self.texts[i]) for i in long]
+        h = np.concatenate([np.zeros(0, np.uint64), *each])
+        item = np.repeat(np.array(long, np.int64), [len(x) for x in each])
+        at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in each]])
+        order = np.argsort(h, kind="stable")
+        self.item, self.at = item[order], at[order]
+        self.known, self.start, self.count = np.unique(h[order], return_index=True, return_counts=True)
+
+    def found(self, text: str) -> list:
+        """The ids of the items that leak into a text."""
         doc = words(text)
-        if self.empty or len(doc) < RUN - RUN // SEVENTH:
+        if not len(self.known) or len(doc) < RUN - RUN // SEVENTH:
             return []
-        line = f" {' '.join(doc)} "
-        seen: dict[int, set[int]] = defaultdict(set)
-        raw = []
-        for end, hit in self.find.iter(line):
-            raw.append((end - hit[0], hit[1]))
-            for i, k in hit[1]:
-                seen[i].add(k)
-        maybe = {i for i, ks in seen.items() if len(ks) >= HITS}
-        if not maybe:
+        h = self.words.pieces(doc)
+        where = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        j = np.flatnonzero(self.known[where] == h)
+        if len(j) < HITS:
             return []
-        # character offsets to word positions, only for documents that may leak
-        offsets, at = [], 0
-        for w in doc:
-            offsets.append(at)
-            at += len(w) + 1
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for start, pairs in raw:
-            j = bisect_left(offsets, start)
-            for i, k in pairs:
-                if i in maybe:
-                    hits[i].append((k, j))
-        return sorted(i for i, h in hits.items() if leaks(self.items[i], doc, h))
+        # every hit of a piece, with each item that holds it
+        n, first = self.count[where[j]], self.start[where[j]]
+        row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        item, at, j = self.item[row], self.at[row], np.repeat(j, n)
+        longest = int(self.at.max()) + 1
+        different = np.unique(item * longest + at) // longest
+        ids, counts = np.unique(different, return_counts=True)
+        out = []
+        for i in ids[counts >= HITS]:
+            mine = item == i
+            if leaks(self.texts[i], doc, list(zip(at[mine].tolist(), j[mine].tolist()))):
+                out.append(self.ids[i])
+        return sorted(out)
 
 
 _HELD: dict[str, Index] = {}
@@ -159,27 +187,32 @@ def _index(name: str, items: list[tuple[int, str]]) -> Index:
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``(key, item)``: each document with each item it leaks, once; repeated documents' rows count each.
 
-    NULL and empty texts hold no leak, items of fewer than RUN words can't leak.  The documents are read once for
-    each BLOCK of items, without a shuffle; a worker holds one block's automaton.
+    NULL and empty texts hold no leak, items of fewer than RUN words can't leak; an item id of several texts leaks if
+    one of them does.  The documents are read once for each BLOCK of items, without a shuffle; the driver and a worker
+    hold one block at a time.
     """
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    rows = [(r[0], r[1]) for r in items.select(item, item_text).where(f"`{item}` IS NOT NULL").distinct().toLocalIterator()]
+    known = items.select(F.col(f"`{item}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    blocks = max(1, -(-known.count() // BLOCK))
     schema = docs.select(key).schema.add(item, items.schema[item].dataType)
+    kind = to_arrow_schema(schema)
     out = None
-    for at in range(0, max(len(rows), 1), BLOCK):
-        shared = spark.sparkContext.broadcast(rows[at : at + BLOCK])
+    for b in range(blocks):
+        rows = [(r.i, r.t) for r in known.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()]
+        shared = spark.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid4().hex) -> Iterator[pa.RecordBatch]:
             index = _index(name, shared.value)
             for batch in batches:
                 ids, found = [], []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    for i in index.found(t.as_py() or ""):
+                    for i in dict.fromkeys(index.found(t.as_py() or "")):
                         ids.append(d)
                         found.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.int64())], names=[key, item])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, kind.field(0).type), pa.array(found, kind.field(1).type)], schema=kind)
 
         part = docs.select(key, text).where(f"`{text}` IS NOT NULL").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)

@@ -51,6 +51,10 @@ def _triples(value: Column, kind: DataType, path: str, ordinals: Column, wanted:
 
         below = [path + x.path[1:] for x in leaves(StructType().add("x", kind.elementType))]
         inner = [under(p) for p in below if wanted is None or p in wanted]
+        if isinstance(kind.elementType, StructType) and (wanted is None or path in wanted):
+            # that an object is there at all
+            there = lambda e, i: F.struct(F.lit(path).alias("path"), F.when(e.isNotNull(), "").alias("value"), F.concat(ordinals, F.array(i.cast("bigint"))).alias("ordinals"))
+            inner.append(F.transform(value, there))
         return [F.coalesce(x, F.array().cast(_TRIPLES)) for x in inner]
     if wanted is not None and path not in wanted:
         return []
@@ -61,7 +65,8 @@ _TRIPLES = "array<struct<path:string,value:string,ordinals:array<bigint>>>"
 
 
 def shred(df: DataFrame, key: str, paths: list[str] | None = None) -> DataFrame:
-    """``(key, path, ordinals, value)``: the non-null scalars of each record, of all paths or of those given.
+    """``(key, path, ordinals, value)``: the non-null scalars of each record, of all paths or of those given; the path of a
+    list of objects gives an empty text for each object that isn't null.
 
     ``ordinals`` are the positions, from 0, in the lists around the value; null elements count as positions.
     Records with a NULL key give no rows.  Only the columns the paths need are read.
@@ -70,7 +75,7 @@ def shred(df: DataFrame, key: str, paths: list[str] | None = None) -> DataFrame:
     arrays: list[Column] = []
     for f in df.schema.fields:
         if f.name != key:
-            own = {x.path for x in leaves(StructType().add(f))}
+            own = {x.path for x in leaves(StructType().add(f))} | {x.group for x in leaves(StructType().add(f))}
             if wanted is None or own & wanted:
                 arrays += _triples(F.col(f"`{f.name}`"), f.dataType, f.name, F.array().cast("array<bigint>"), None if wanted is None else own & wanted)
     t = df.where(F.col(key).isNotNull()).select(F.col(key), F.explode(F.flatten(F.array(*arrays))).alias("t"))
@@ -80,7 +85,8 @@ def shred(df: DataFrame, key: str, paths: list[str] | None = None) -> DataFrame:
 def pivot_group(triples: DataFrame, key: str, schema: StructType, group: str) -> DataFrame:
     """The flat table of a repeated ancestor: key, one position for each list down to it, one column for each leaf.
 
-    Lists of scalars inside the group are groups of their own.  An object whose leaves are all NULL has no row.
+    Lists of scalars inside the group are groups of their own.  An object whose leaves are all NULL has a row if the
+    triples hold the path of its list.
     """
     kinds = {}
 
@@ -96,7 +102,7 @@ def pivot_group(triples: DataFrame, key: str, schema: StructType, group: str) ->
     walk(schema, "")
     own = [x for x in leaves(schema) if x.group == group and x.path != key]
     cols = [F.max(F.when(F.col("path") == x.path, F.col("value"))).alias(x.path) for x in own]
-    g = triples.where(F.col("path").isin(*[x.path for x in own])).groupBy(key, "ordinals").agg(*cols)
+    g = triples.where(F.col("path").isin(group, *[x.path for x in own])).groupBy(key, "ordinals").agg(*cols)
     pos = [F.get("ordinals", F.lit(i)).alias("pos" if own[0].depth == 1 else f"pos_{i}") for i in range(own[0].depth)]
     name = lambda p: (p[len(group) + 1 :] if group and p.startswith(group + ".") else p.rsplit(".", 1)[-1]).replace(".", "_")
     return g.select(key, *pos, *[F.col(f"`{x.path}`").try_cast(kinds[x.path]).alias(name(x.path) or "value") for x in own])

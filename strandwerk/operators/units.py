@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from strandwerk.operators.joins import lookup
 
+# Notations that several currencies share, in lower case.
+SHARED = ("kr", "crowns", "¥", "fr.", "francs", "dollars", "dollar", "$", "pounds", "rs", "rs.", "rupees")
 # Scales, currencies and percent notations as they occur in texts.
 SCALES = {
     1e3: ("thousand", "thou", "tsd.", "tsd", "k", "K"),
@@ -44,6 +46,8 @@ FRACTION_NOTE = r"(?i)parts of one|proportion|fraction|1 ?= ?all"
 
 #: A stated value and amount x unit agree if their natural logarithms differ by at most this.
 TOLERANCE = 0.02
+#: Residuals within so much of each other are alike: stated sums are rounded.
+SAME = 0.005
 
 
 def _any(words) -> str:
@@ -109,7 +113,7 @@ def normalize_units(relationships: DataFrame, sources: DataFrame, rates: DataFra
     Columns: rel_id, amount, currency, percentage (as recorded), amount_unit (one, thousand, million, billion),
     amount_full, currency_code, amount_usd, percentage_unit (percent, fraction, basis_point), percent, and
     amount_unique / percentage_unique: false where several units fit or none is evidenced (the value is then taken
-    as it stands).  NULL, zero and negative values keep the unit the note gives; NULLs stay NULL.
+    as it stands); currency_unique: false where none is known, or only by a notation that several currencies share.  NULL, zero and negative values keep the unit the note gives; NULLs stay NULL.
     Repeated rows come out once; an empty table gives an empty table.
     """
     r = relationships.select("rel_id", "source", "description", "amount", "currency", "percentage").where("amount IS NOT NULL OR percentage IS NOT NULL")
@@ -119,8 +123,8 @@ def normalize_units(relationships: DataFrame, sources: DataFrame, rates: DataFra
     money = _nearest(stated_money(F.col("description")), F.abs("amount"), {"one": 1.0, "thousand": 1e3, "million": 1e6, "billion": 1e9})
     share = _nearest(stated_percent(F.col("description")), F.abs("percentage"), {"percent": 1.0, "fraction": 100.0, "basis_point": 0.01}, of=F.lit(1))
     r = r.select("*", F.when(F.col("amount") != 0, money).alias("m"), F.when(F.col("percentage") != 0, share).alias("p"))
-    # of combinations that fit equally well the first stated one counts: later sentences tell of other deals
-    first = lambda c: F.get(F.array_sort(c, lambda x, y: F.when(x["pos"] != y["pos"], x["pos"] - y["pos"]).when(x["residual"] < y["residual"], -1).when(x["residual"] > y["residual"], 1).otherwise(0)), 0)
+    # the least residual decides; of combinations that fit equally well, up to rounding of the stated sums, the first stated one
+    first = lambda c: F.get(F.array_sort(F.transform(c, lambda x: F.struct(F.floor(x["residual"] / SAME).alias("r"), x["pos"].alias("pos"), x["residual"].alias("residual"), x["unit"].alias("unit"), x["code"].alias("code")))), 0)
     several = lambda c: F.size(F.array_distinct(F.transform(c, lambda x: x["unit"]))) > 1
     r = r.select("*", first(F.col("m")).alias("m1"), first(F.col("p")).alias("p1"))
     by_note = F.coalesce(*[F.when(F.col("note").rlike(p), F.lit(u)) for u, p in NOTES.items()])
@@ -131,6 +135,8 @@ def normalize_units(relationships: DataFrame, sources: DataFrame, rates: DataFra
         F.when(F.col("amount").isNotNull(), F.coalesce(unit, F.lit("one"))).alias("amount_unit"),
         F.when(F.col("amount").isNotNull(), F.coalesce(unit.isNotNull() & ~several(F.coalesce(F.col("m"), F.array())), F.lit(False))).alias("amount_unique"),
         F.coalesce(iso_code(F.col("currency")), F.col("m1.code")).alias("currency_code"),
+        # a notation of several currencies tells one for certain only if the text names the same
+        F.when(F.col("amount").isNotNull(), F.coalesce(F.when(F.lower(F.trim("currency")).isin(*SHARED), iso_code(F.col("currency")) == F.col("m1.code")).otherwise(iso_code(F.col("currency")).isNotNull() | F.col("m1.code").isNotNull()), F.lit(False))).alias("currency_unique"),
         F.when(F.col("percentage").isNotNull(), F.coalesce(pct, F.lit("percent"))).alias("percentage_unit"),
         F.when(F.col("percentage").isNotNull(), F.coalesce(pct.isNotNull() & ~several(F.coalesce(F.col("p"), F.array())), F.lit(False))).alias("percentage_unique"),
     )
@@ -140,7 +146,7 @@ def normalize_units(relationships: DataFrame, sources: DataFrame, rates: DataFra
     usd = lookup(rates.groupBy(F.col("currency").alias("currency_code")).agg(F.min("usd_per_unit").alias("usd_per_unit")))
     return r.join(usd, "currency_code", "left").select(
         "rel_id", "amount", "currency", "percentage", "amount_unit", "amount_full", "currency_code", F.expr("amount_full * usd_per_unit").alias("amount_usd"),
-        "percentage_unit", "percent", "amount_unique", "percentage_unique",
+        "percentage_unit", "percent", "amount_unique", "currency_unique", "percentage_unique",
     )
 
 

@@ -16,7 +16,18 @@ def p2_found(spark, d):
     return drift.field_changes(t(spark, d, "raw_files"))
 
 
-@R.add()
+_TYPE = "CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' END"
+
+
+@R.add(
+    f"""WITH o AS (SELECT feed_name AS feed, file_no, payload::JSON AS j FROM raw_files WHERE json_valid(payload) AND regexp_matches(payload, '^\\s*\\{{.*\\}}\\s*$') AND feed_name IS NOT NULL AND file_no IS NOT NULL),
+ f AS (SELECT feed, file_no, field, j->('$."' || field || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS field FROM o)), n AS (SELECT feed, file_no, field, {_TYPE} AS ty, count(*) AS n FROM f WHERE field <> 'uuid' GROUP BY ALL),
+ c AS (SELECT feed, file_no, field, arg_min(ty, (-n, list_position(['string', 'integer', 'number', 'boolean', 'object', 'array'], ty))) FILTER (ty IS NOT NULL) AS json_type FROM n GROUP BY feed, file_no, field),
+ o2 AS (SELECT feed, file_no, row_number() OVER (PARTITION BY feed ORDER BY file_no) AS pos FROM (SELECT DISTINCT feed_name AS feed, file_no FROM raw_files WHERE feed_name IS NOT NULL AND file_no IS NOT NULL)),
+ b AS (SELECT c.*, pos, CASE WHEN pos - lag(pos) OVER w = 1 AND json_type IS NOT DISTINCT FROM lag(json_type) OVER w THEN 0 ELSE 1 END AS new FROM c JOIN o2 USING (feed, file_no) WINDOW w AS (PARTITION BY feed, field ORDER BY pos)),
+ i AS (SELECT *, sum(new) OVER (PARTITION BY feed, field ORDER BY pos) AS island FROM b)
+ SELECT feed, field, any_value(json_type) AS json_type, min(file_no) AS first_file, max(file_no) AS last_file, count(*)::BIGINT AS files FROM i GROUP BY feed, field, island"""
+)
 def p2_lifespans(spark, d):
     return drift.lifespans(t(spark, d, "raw_files"))
 
@@ -70,13 +81,12 @@ def p7_found(spark, d):
 
 def _flat(group: str, cols: dict[str, str]):
     """A flat table of a list of structs: the columns given, as name to SQL expression over ``c``."""
-    some = " OR ".join(f"{e} IS NOT NULL" for e in cols.values())
-    sql = f"SELECT article_id, pos::BIGINT AS pos, {', '.join(f'{e} AS {n}' for n, e in cols.items())} FROM (SELECT article_id, unnest({group}) AS c, unnest(range(len({group}))) AS pos FROM articles) WHERE {some}"
+    sql = f"SELECT article_id, pos::BIGINT AS pos, {', '.join(f'{e} AS {n}' for n, e in cols.items())} FROM (SELECT article_id, unnest({group}) AS c, unnest(range(len({group}))) AS pos FROM articles) WHERE c IS NOT NULL"
 
     def run(spark, d):
         a = t(spark, d, "articles")
         own = [x.path for x in nested.leaves(a.schema) if x.group == group]
-        return nested.pivot_group(nested.shred(a, "article_id", own), "article_id", a.schema, group)
+        return nested.pivot_group(nested.shred(a, "article_id", [group, *own]), "article_id", a.schema, group)
 
     R.add(sql, f"p7_{group}")(run)
 

@@ -24,13 +24,8 @@ def upsert_newest(stream: DataFrame, path: str, checkpoint: str, key: str, time:
     """Keeps at ``path`` the newest row of each key; each micro-batch rewrites a new version beside the old one."""
 
     def merge(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v{n - 1}")
-            batch = old.unionByName(batch)
-        except Exception:
-            if n:
-                raise
+        if n:
+            batch = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v{n - 1}").unionByName(batch)
         newest(batch, key, time, seq).write.mode("overwrite").parquet(f"{path}/v{n}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,8 +1,12 @@
 """Functions and operators added after the first round, against brute force and small cases."""
 
 import io
+import json
+import os
 import random
+import re
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from strandwerk import schemas
 from strandwerk.functions import names, text
-from strandwerk.operators import blocking, dedup, graph, refine, semantic, tickers
+from strandwerk.operators import blocking, dedup, drift, graph, refine, semantic, tickers
 from strandwerk.sources import readers
 
 
@@ -161,3 +165,71 @@ def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_folder(Far())
+
+
+def changes_by_hand(rows):
+    """The changes of fields by plain Python, from (feed, file_no, payload) rows."""
+    files = {}
+    for feed, no, text in rows:
+        fields = files.setdefault(feed, {}).setdefault(no, {})
+        try:
+            o = json.loads(text, parse_float=lambda x: ("number", float(x)), parse_int=lambda x: ("integer", int(x)), parse_constant=lambda x: 1 / 0)
+        except Exception:
+            continue
+        if isinstance(o, dict):
+            for k, v in o.items():
+                fields.setdefault(k, []).append((o.get("uuid"), v))
+
+    def kind(v):
+        return None if v is None else v[0] if isinstance(v, tuple) else {str: "string", bool: "boolean", dict: "object", list: "array"}[type(v)]
+
+    def main(values):
+        n = Counter(k for _, v in values if (k := kind(v)))
+        return max(n, key=lambda k: (n[k], -drift.TYPES.index(k))) if n else None
+
+    def scalar(v):
+        if isinstance(v, list):
+            v = v[0] if v else None
+        if isinstance(v, dict):
+            v = v.get("value", v.get("id"))
+        if isinstance(v, tuple):
+            v = v[1]
+        if v is None or isinstance(v, bool):
+            return None if v is None else str(int(v))
+        s = str(v).strip().lower()
+        try:
+            return f"{round(float(re.sub(' *[a-z]{3}$', '', s).replace(',', '')), 4):g}"
+        except ValueError:
+            return None if s in drift.FILLERS else {"true": "1", "yes": "1", "false": "0", "no": "0"}.get(s, s)
+
+    out = set()
+    for feed, by_no in files.items():
+        for before, no in zip(sorted(by_no), sorted(by_no)[1:]):
+            a, b = ({k: v for k, v in by_no[n].items() if k != "uuid"} for n in (before, no))
+            gone, come = set(a) - set(b), set(b) - set(a)
+            best = []
+            for g in gone:
+                x = {u: s for u, v in a[g] if u and (s := scalar(v)) is not None}
+                for c in come:
+                    y = {u: s for u, v in b[c] if u and (s := scalar(v)) is not None}
+                    shared = set(x) & set(y)
+                    same = sum(x[u] == y[u] for u in shared)
+                    if same and same >= 0.6 * len(shared):
+                        best.append((-same / len(shared), -same, g, c))
+            for *_, g, c in sorted(best):
+                if g in gone and c in come:
+                    gone.remove(g)
+                    come.remove(c)
+                    out.add((feed, no, "renamed", g, c))
+                    if main(a[g]) and main(b[c]) and main(a[g]) != main(b[c]):
+                        out.add((feed, no, "type_changed", g, c))
+            out |= {(feed, no, "removed", g, "") for g in gone} | {(feed, no, "added", "", c) for c in come}
+            out |= {(feed, no, "type_changed", f, f) for f in set(a) & set(b) if main(a[f]) and main(b[f]) and main(a[f]) != main(b[f])}
+    return out
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/raw_files.parquet"), reason="needs the test tables")
+def test_field_changes_against_plain_python(spark):
+    raw = spark.read.parquet("/root/testdata/sf0.1/raw_files.parquet")
+    want = changes_by_hand((r.feed_name, r.file_no, r.payload or "") for r in raw.collect())
+    assert {tuple(r) for r in drift.field_changes(raw).collect()} == want and len(want) > 300

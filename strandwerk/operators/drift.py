@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwerk.functions.let import let
 from strandwerk.operators.joins import lookup
 from strandwerk.session import Cut
 
@@ -59,22 +60,22 @@ def json_type(v: Column) -> Column:
     A VARIANT keeps 9.0 as the decimal 9, an integer of up to 18 digits as BIGINT; a whole decimal of fewer than 19
     digits was therefore written with a point.
     """
-    s = F.schema_of_variant(v)
-    return (
+    kind = lambda s: (
         F.when(s == "STRING", "string").when(s == "BIGINT", "integer").when(s.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "integer").when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number")
         .when(s == "BOOLEAN", "boolean").when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
     )
+    return let(F.schema_of_variant(v), kind)
 
 
 def plain_value(v: Column) -> Column:
     """The scalar a VARIANT holds, whatever its notation: the element of a list, ``value`` or ``id`` of an object,
     numbers without separators, currency code and needless decimals, yes/no/true/false as 1/0; NULL for a filler."""
     inner = F.coalesce(F.try_variant_get(v, "$[0]", "string"), F.try_variant_get(v, "$.value", "string"), F.try_variant_get(v, "$.id", "string"), F.try_variant_get(v, "$", "string"))
-    s = F.lower(F.trim(inner))
-    number = F.regexp_replace(F.regexp_replace(s, r"\s*[a-z]{3}$", ""), ",", "")
-    s = F.when(number.rlike(r"^-?\d+(\.\d+)?(e[+-]?\d+)?$"), F.regexp_replace(F.format_number(number.try_cast("double"), 4).cast("string"), r",|\.?0+$", "")).otherwise(s)
-    s = F.when(s.isin("true", "yes"), "1").when(s.isin("false", "no"), "0").otherwise(s)
-    return F.when(~s.isin(*FILLERS), s)
+    number = lambda s: F.regexp_replace(F.regexp_replace(s, r"\s*[a-z]{3}$", ""), ",", "")
+    short = lambda n: F.regexp_replace(F.format_number(n.try_cast("double"), 4).cast("string"), r",|\.?0+$", "")
+    known = lambda x: F.when(x.isin("true", "yes"), "1").when(x.isin("false", "no"), "0").when(~x.isin(*FILLERS), x)
+    one = lambda s: let(number(s), lambda n: let(F.when(n.rlike(r"^-?\d+(\.\d+)?(e[+-]?\d+)?$"), short(n)).otherwise(s), known))
+    return let(F.lower(F.trim(inner)), one)
 
 
 def field_catalog(raw: DataFrame) -> DataFrame:
@@ -145,8 +146,10 @@ def field_changes(raw: DataFrame) -> DataFrame:
     wanted = cut.write(sides.join(edges.select("feed", F.col("file_no").alias("at"), "change", "field"), ["feed", "at", "change"]))
     # only the values of those fields are read as scalars
     lines = valid_lines(raw, wanted.select("feed", "file_no").distinct())
-    values = _fields(lines).join(lookup(wanted), ["feed", "file_no", "field"]).select("feed", "at", "change", "field", "record", plain_value(F.col("value")).alias("x"))
-    values = cut.write(values.where("record IS NOT NULL AND x IS NOT NULL").withColumn("x", F.xxhash64("x")).distinct())
+    hashed = let(plain_value(F.col("value")), lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
+    values = _fields(lines).join(lookup(wanted), ["feed", "file_no", "field"]).select("feed", "at", "change", "field", "record", hashed.alias("x")).distinct()
+    # NULLs are dropped behind the written table: a filter in front of it would move below the join and read all fields
+    values = cut.write(values).where("record IS NOT NULL AND x IS NOT NULL")
     old = values.where("change = 'removed'").select("feed", "at", "record", F.col("field").alias("before"), F.col("x").alias("x0"))
     new = values.where("change = 'added'").select("feed", "at", "record", F.col("field").alias("after"), F.col("x").alias("x1"))
     pairs = old.join(new, ["feed", "at", "record"]).groupBy("feed", "at", "before", "after").agg(F.count_if(F.expr("x0 = x1")).alias("same"), F.count("*").alias("shared"))

@@ -3,7 +3,8 @@
 The component of the highest-degree vertex (the giant, if there is one) is peeled by
 frontier breadth-first joins and anti-joined away; what remains is labelled by minimum
 propagation in star form, where every round joins each vertex to the least vertex it
-knows of, so that chains shrink geometrically.
+knows of, so that chains shrink geometrically.  Components that are stars already take part in no further round, and
+the rounds end when all are.
 """
 
 from __future__ import annotations
@@ -18,27 +19,49 @@ from strandwerk.session import Cut
 BROADCAST_IDS = 200_000
 #: Rounds of breadth-first search for the giant; a component not finished by then stays whole and is labelled by propagation.
 PEEL_ROUNDS = 16
+#: Rounds of minimum propagation after which finished components are set aside.
+CHECK = 2
 
 
 def _peel(edges: DataFrame, cut: Cut) -> tuple[DataFrame, int] | None:
     """The vertices of the component of the highest-degree vertex, or None if it isn't closed within PEEL_ROUNDS."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     top = both.groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).select("u")
-    seen = frontier = cut.write(top.select(F.col("u").alias("x")))
-    total = size = frontier.count()
+    frontier = cut.write(top.select(F.col("u").alias("x")))
+    # what was reached is the union of the frontiers' tables; none is written again
+    seen, total, size = frontier, 1, 1
     for _ in range(PEEL_ROUNDS):
-        if not size:
-            return seen, total
         small = F.broadcast(frontier) if size <= BROADCAST_IDS else frontier
         reached = both.join(small, both.u == frontier.x, "left_semi").select(F.col("v").alias("x")).distinct()
         known = F.broadcast(seen) if total <= BROADCAST_IDS else seen
-        new = cut.write(reached.join(known, "x", "left_anti"))
-        size = new.count()
+        frontier = cut.write(reached.join(known, "x", "left_anti"))
+        size = frontier.count()
+        if not size:
+            return seen, total
         total += size
-        old, seen = seen, cut.write(seen.unionByName(new))
-        cut.free(old, frontier)
-        frontier = new
-    return (seen, total) if not size else None
+        seen = seen.unionByName(frontier)
+    return None
+
+
+def _live(e: DataFrame, cut: Cut) -> tuple[DataFrame, DataFrame] | None:
+    """The edges of components that are no stars yet, and those of finished ones; None if all are finished.
+
+    A star is finished if its root has no smaller neighbour and each leaf no other neighbour.
+    """
+    roles = e.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    roles = roles.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    loose = cut.write(roles.where("up > 1 OR (up > 0 AND down > 0)").select("x"))
+    n = loose.count()
+    if not n:
+        cut.free(loose)
+        return None
+    x = F.broadcast(loose) if n <= BROADCAST_IDS else loose
+    roots = e.join(x, e.a == loose.x, "left_semi").select("b").unionByName(e.join(x, e.b == loose.x, "left_semi").select("b")).distinct()
+    roots = cut.write(roots)
+    r = F.broadcast(roots) if roots.count() <= BROADCAST_IDS else roots
+    live, finished = cut.write(e.join(r, "b", "left_semi")), cut.write(e.join(r, "b", "left_anti"))
+    cut.free(loose, roots)
+    return live, finished
 
 
 def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
@@ -60,9 +83,17 @@ def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
         rest = cut.write(e.join(known, e.a == seen.x, "left_anti"))
         cut.free(e, seen)
         e = rest
-    print_of = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = print_of(e)
-    while before[0]:
+    done, rounds = [], 0
+    while not e.isEmpty():
+        if rounds and not rounds % CHECK:
+            parts = _live(e, cut)
+            if parts is None:
+                done.append(e)
+                break
+            cut.free(e)
+            e = parts[0]
+            done.append(parts[1])
+        rounds += 1
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         # large star: larger neighbours move to the least vertex of the neighbourhood
@@ -73,11 +104,11 @@ def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("s"))
         new = cut.write(small.select("s.a", "s.b").where("a <> b").distinct())
         cut.free(e, large)
-        e, now = new, print_of(new)
-        if now == before:
-            break
-        before = now
-    out = e.select(F.col("a").alias("x"), F.col("b").alias("root"))
+        e = new
+    out = e.limit(0)
+    for part in done:
+        out = out.unionByName(part)
+    out = out.select(F.col("a").alias("x"), F.col("b").alias("root"))
     out = out.unionByName(out.select(F.col("root").alias("x"), "root").distinct())
     return out.unionByName(giant.select("x", "root")) if giant is not None else out
 

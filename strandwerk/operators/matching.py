@@ -64,3 +64,20 @@ def local_ids(members: DataFrame, block: str = "block_key", uuid: str = "uuid")
     from pyspark.sql import Window
 
     return members.withColumn("local_id", F.dense_rank().over(Window.partitionBy(block).orderBy(uuid)))
+
+
+def few_shot_examples(blocks: DataFrame, limit: int = 5) -> DataFrame:
+    """``(block_id, companies, merged)``: worked examples for a matcher that learns from them: the records of a block with
+    their ids and lineages, and the one entry they became, with the union of their uuids and lineages.
+
+    Only complete blocks serve: one resolved entry, at least two records, an id and a uuid in each.  The ``limit``
+    smallest are given (ties by block).
+    """
+    some = lambda c: F.coalesce(F.size(c), F.lit(0))
+    b = blocks.where((some("original_companies") > 1) & (some("resolved_companies") == 1)).select("block_id", "original_companies", F.get("resolved_companies", F.lit(0)).alias("r"))
+    b = b.where(F.forall("original_companies", lambda c: c["id"].isNotNull() & c["uuid"].isNotNull()) & F.col("r.uuid").isNotNull())
+    empty = F.array().cast("array<string>")
+    lineage = F.array_sort(F.array_distinct(F.concat(F.col("original_companies.uuid"), F.flatten(F.transform("original_companies", lambda c: F.coalesce(c["source_uuids"], empty))))))
+    companies = F.array_sort(F.transform("original_companies", lambda c: F.struct(c["id"].alias("id"), c["uuid"].alias("uuid"), F.coalesce(c["source_uuids"], empty).alias("source_uuids"))))
+    out = b.select("block_id", companies.alias("companies"), F.struct(F.array_min(F.col("original_companies.id")).alias("id"), F.array_compact(lineage).alias("source_uuids")).alias("merged"))
+    return out.orderBy(F.size("companies"), "block_id").limit(limit)

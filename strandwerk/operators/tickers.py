@@ -97,10 +97,13 @@ def best_fuzzy(queries: DataFrame, listed: DataFrame) -> DataFrame:
     l = listed.select(match_key(F.col("title")).alias("k"), "ticker").where("k <> '' AND ticker IS NOT NULL").distinct()
     q = queries.select("name", match_key(F.col("name")).alias("q")).where("q <> ''").distinct()
     blocks = -(-l.count() // BLOCK)
+    # names are few bytes but much work: they must not be coalesced into few tasks
+    spark = q.sparkSession
+    q = q.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
     out = None
     for i in range(max(blocks, 1)):
         rows = l.where(F.pmod(F.xxhash64("k", "ticker"), F.lit(max(blocks, 1))) == i).collect()
-        shared = q.sparkSession.sparkContext.broadcast(([r.k for r in rows], [r.ticker for r in rows]))
+        shared = spark.sparkContext.broadcast(([r.k for r in rows], [r.ticker for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             best = Best(*shared.value)

@@ -297,3 +297,12 @@ def a11_a13_merge_nodes(spark, d):
     c = t(spark, d, "resolved_companies").distinct().withColumn("uuid", clean_uuid(F.col("uuid")))
     c = c.withColumn("source_uuids", F.filter("source_uuids", lambda x: x.isNotNull()))
     return refine.merge_nodes(c).select("uuid", "name", "revenue_usd", F.array_join("source_uuids", ";").alias("source_uuids"), "match_skip")
+
+
+@R.add(
+    """SELECT block_id, len(oc)::INTEGER AS records, list_min(list_transform(oc, lambda c: c.id)) AS master, array_to_string(list_sort(list_distinct(list_filter(list_concat(list_transform(oc, lambda c: c.uuid), flatten(list_transform(oc, lambda c: coalesce(c.source_uuids, [])))), lambda x: x IS NOT NULL))), ',') AS lineage
+ FROM (SELECT block_id, original_companies AS oc, resolved_companies AS rc FROM blocks) WHERE len(oc) > 1 AND len(rc) = 1 AND rc[1].uuid IS NOT NULL AND len(list_filter(oc, lambda c: c.id IS NULL OR c.uuid IS NULL)) = 0 ORDER BY records, block_id LIMIT 5"""
+)
+def e13_few_shot_examples(spark, d):
+    e = matching.few_shot_examples(t(spark, d, "blocks"))
+    return e.select("block_id", F.size("companies").alias("records"), F.col("merged.id").alias("master"), F.array_join("merged.source_uuids", ",").alias("lineage"))

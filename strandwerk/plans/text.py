@@ -74,7 +74,13 @@ def x18_posted_dates(spark, d):
     return t(spark, d, "documents").where("posted_at IS NOT NULL").select("doc_id", T.posted_date(page).alias("posted"))
 
 
-@R.add()
+_BLANKS = "[\\s\\x0b\\x1c-\\x1f\\x85\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+
+@R.add(
+    f"""WITH p AS (SELECT doc_id, {_PAGE} AS html, 'Title: ' || trim(regexp_replace(title || ' | Site', '{_BLANKS}', ' ', 'g')) || chr(10) || 'x l see https://plain.example/' || doc_id::VARCHAR || ' and ' || url AS text FROM documents WHERE url IS NOT NULL AND title IS NOT NULL)
+ SELECT doc_id, text, round(100.0::DOUBLE * (length(html) - length(text)) / length(html), 2) AS reduction_pct FROM p"""
+)
 def x14_x15_html_text(spark, d):
     p = _pages(spark, d).select("doc_id", "html", html.html_to_text(F.col("html")).alias("text"))
     return p.select("doc_id", "text", html.reduction_pct(F.col("html"), F.col("text")).alias("reduction_pct"))

@@ -233,3 +233,20 @@ def test_field_changes_against_plain_python(spark):
     raw = spark.read.parquet("/root/testdata/sf0.1/raw_files.parquet")
     want = changes_by_hand((r.feed_name, r.file_no, r.payload or "") for r in raw.collect())
     assert {tuple(r) for r in drift.field_changes(raw).collect()} == want and len(want) > 300
+
+
+def test_upserts_touch_only_their_buckets(spark, tmp_path):
+    from strandwerk.streaming import incremental
+
+    schema = "url string, collected_at string, seq bigint"
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    want = {}
+    for n, rows in enumerate([[(f"u{i}", "2024-01-01", i) for i in range(30)], [("u3", "2024-02-01", 100), ("u4", "2023-01-01", 101), ("new", None, 102)], [("u3", "2024-03-01", 200)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        for u, at, s in rows:
+            want[u] = max(want.get(u, ("", -1)), (at or "", s))
+        q = incremental.upsert_newest(spark.readStream.schema(schema).parquet(src), out, cp, "url", "collected_at", "seq")
+        q.awaitTermination()
+        got = incremental.read_upserted(spark, out, spark.createDataFrame([], schema).schema)
+        assert {r.url: (r.collected_at or "", r.seq) for r in got.collect()} == want and got.count() == len(want)
+    assert len([p for p in os.listdir(f"{out}/v2") if p.startswith("_bucket")]) == 1

@@ -149,7 +149,8 @@ def field_changes(raw: DataFrame) -> DataFrame:
     hashed = let(plain_value(F.col("value")), lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
     values = _fields(lines).join(lookup(wanted), ["feed", "file_no", "field"]).select("feed", "at", "change", "field", "record", hashed.alias("x")).distinct()
     # NULLs are dropped behind the written table: a filter in front of it would move below the join and read all fields
-    values = cut.write(values).where("record IS NOT NULL AND x IS NOT NULL")
+    stored = cut.write(values)
+    values = stored.where("record IS NOT NULL AND x IS NOT NULL")
     old = values.where("change = 'removed'").select("feed", "at", "record", F.col("field").alias("before"), F.col("x").alias("x0"))
     new = values.where("change = 'added'").select("feed", "at", "record", F.col("field").alias("after"), F.col("x").alias("x1"))
     pairs = old.join(new, ["feed", "at", "record"]).groupBy("feed", "at", "before", "after").agg(F.count_if(F.expr("x0 = x1")).alias("same"), F.count("*").alias("shared"))
@@ -157,6 +158,7 @@ def field_changes(raw: DataFrame) -> DataFrame:
     rank = lambda own, other: F.row_number().over(Window.partitionBy("feed", "at", own).orderBy(F.desc(F.col("same") / F.col("shared")), F.desc("same"), other))
     renames = pairs.select("*", rank("before", "after").alias("i"), rank("after", "before").alias("j")).where("i = 1 AND j = 1").select("feed", F.col("at").alias("file_no"), "before", "after")
     renames = cut.write(renames)
+    cut.free(wanted, stored)
     gone = renames.select("feed", "file_no", F.explode(F.array(F.struct(F.lit("removed").alias("change"), F.col("before").alias("field")), F.struct(F.lit("added").alias("change"), F.col("after").alias("field")))).alias("g")).select("feed", "file_no", "g.*")
     plain = edges.join(gone, ["feed", "file_no", "change", "field"], "left_anti")
     types = edges.select("feed", "file_no", "change", "field", "json_type")

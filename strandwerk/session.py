@@ -76,6 +76,11 @@ class Cut:
                 drop_table(self.spark, self.made[id(t)][0])
                 self.made[id(t)] = ("", t)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but these, when what the others led to is written."""
+        kept = {id(t) for t in tables}
+        self.free(*[t for i, (_, t) in list(self.made.items()) if i not in kept])
+
     def _end(self) -> None:
         try:
             drop_table(self.spark, self.root)

@@ -171,6 +171,7 @@ def votes(blocks: DataFrame, cut: Cut, sources: DataFrame | None = None) -> tupl
         if r:
             seen = p.groupBy("source").agg(F.sum("posterior").alias("s"), held)
             told = (F.coalesce("s", F.lit(0.0)) + F.col("prior") * PRIOR_WEIGHT) / (F.coalesce("n", F.lit(0)) + PRIOR_WEIGHT)
+            cut.free(accuracy)
             accuracy = cut.write(prior.join(seen, "source", "left").select("source", F.least(F.greatest(told, F.lit(0.05)), F.lit(0.99)).alias("accuracy")))
         est = lookup(accuracy)
         one = p.join(est, "source").select(*g, "vote", F.col("source").alias("s1"), F.col("accuracy").alias("a1"), "posterior")
@@ -180,6 +181,8 @@ def votes(blocks: DataFrame, cut: Cut, sources: DataFrame | None = None) -> tupl
         both = each.select(*g, F.col("source").alias("s1"), F.col("k").alias("k1")).join(each.select(*g, F.col("source").alias("s2"), F.col("k").alias("k2")), g).where("s1 < s2")
         both = both.groupBy("s1", "s2").agg(F.sum(F.col("k1") * F.col("k2")).alias("all"))
         pairs = both.join(shared, ["s1", "s2"], "left").select("s1", "s2", dependence(F.coalesce("e", F.lit(0.0)) + (F.col("all") - F.coalesce("n", F.lit(0))) * math.log(1 - COPY_RATE)).alias("dependence"))
+        if copies is not None:
+            cut.free(copies)
         copies = cut.write(pairs.select(F.explode(F.array(F.struct(F.col("s1").alias("source"), F.col("s2").alias("other"), "dependence"), F.struct(F.col("s2").alias("source"), F.col("s1").alias("other"), "dependence"))).alias("p")).select("p.*"))
     return c.join(scored, [*g, "vote"]), accuracy, copies
 

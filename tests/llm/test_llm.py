@@ -109,6 +109,13 @@ def test_ordinary_names_alone(spark):
     assert len(got & want) >= 0.9 * len(got) and not got & {tuple(sorted(p)) for p in apart}, got - want
 
 
+def test_very_long_names(spark):
+    long = " ".join(f"word{i}x" for i in range(1500))
+    rows = [("a", long), ("b", long.replace("word700x", "wrod700x")), ("c", "q" * 60000), ("d", "q" * 60000 + "r"), ("e", "Word " + "z " * 3000), ("f", None), ("g", "")]
+    df = spark.createDataFrame([(u, n, (n or "") * 3, None, None, None, None) for u, n in rows], "uuid string, name string, description string, cik string, website_url string, linkedin_url string, headquarters_location string")
+    assert {tuple(r) for r in variants.variant_pairs(df).collect()} == {("a", "b"), ("c", "d")}
+
+
 def test_longer_words_allow_two_edits(spark):
     random.seed(12)
     names = []

@@ -77,6 +77,14 @@ def e3_semantic_blocks(spark, d):
     return semantic.semantic_blocks(t(spark, d, "embeddings").select("vec_id", "embedding"), 50)
 
 
+@R.add("SELECT vec_id, 1::BIGINT AS blocks, true AS bounded FROM embeddings WHERE vec_id IS NOT NULL")
+def e3_e3b_semantic_cover(spark, d):
+    """Each vector stands in one block, and no block is larger than asked for; at most the square root of the vectors as centroids."""
+    b = semantic.semantic_blocks(t(spark, d, "embeddings").select("vec_id", "embedding"), 50, max_size=40, root=True)
+    sizes = b.groupBy("block_key").agg((F.count("*") <= 40).alias("ok"))
+    return b.join(sizes, "block_key").groupBy("vec_id").agg(F.count("*").alias("blocks"), F.bool_and("ok").alias("bounded"))
+
+
 #: DuckDB counts an edit distance in bytes, so each letter outside ASCII gets a control character of its own first.
 _LEV = """m AS (SELECT block_id, c.name AS name FROM (SELECT block_id, unnest(original_companies) AS c FROM blocks) WHERE c.name IS NOT NULL),
  ch AS (SELECT string_agg(x, '' ORDER BY x) AS a, string_agg(chr((n + CASE WHEN n >= 9 THEN 5 ELSE 0 END)::INT), '' ORDER BY x) AS b FROM (SELECT x, row_number() OVER (ORDER BY x) AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(name, '[^\\x00-\\x7f]')) AS x FROM m))),

@@ -122,10 +122,21 @@ def n10_local_ids(spark, d):
     return matching.local_ids(_members(spark, d).select("block_key", "uuid").distinct())
 
 
+def _resolved(spark, d):
+    c = iterate.one_each(t(spark, d, "companies").where("uuid IS NOT NULL")).select("uuid", "id", "name", "description", "cik", "website_url", "revenue_usd", F.array().cast("array<string>").alias("source_uuids"))
+    return iterate.resolve(c, rounds=3)
+
+
 @R.add()
 def e10_resolve_rounds(spark, d):
-    c = iterate.one_each(t(spark, d, "companies").where("uuid IS NOT NULL")).select("uuid", "id", "name", "description", "cik", "website_url", "revenue_usd", F.array().cast("array<string>").alias("source_uuids"))
-    return iterate.resolve(c, rounds=3).select("uuid", "name", F.array_join("source_uuids", "|").alias("source_uuids"))
+    return _resolved(spark, d).select("uuid", "name", F.array_join("source_uuids", "|").alias("source_uuids"))
+
+
+@R.add("SELECT DISTINCT uuid FROM companies WHERE uuid IS NOT NULL")
+def e10_lineage_complete(spark, d):
+    """The records in the lineage of what the rounds leave: all of them."""
+    made = _resolved(spark, d).select(F.explode("source_uuids").alias("uuid")).distinct()
+    return made.join(t(spark, d, "companies").select("uuid"), "uuid", "left_semi")
 
 
 _UU = "CASE WHEN regexp_full_match({0}, '[0-9a-f]{{32}}') AND {0} <> '00000000000000000000000000000000' THEN {0}[1:8] || '-' || {0}[9:12] || '-' || {0}[13:16] || '-' || {0}[17:20] || '-' || {0}[21:32] END"

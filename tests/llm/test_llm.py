@@ -76,6 +76,34 @@ def test_fusion_finds_truth_and_copies(spark):
     assert s["copy1"].copies_from in {"orig", "copy2"} and s["good1"].copies_from is None and s["good1"].accuracy > s["copy1"].accuracy
 
 
+def test_variants_leave_the_driver_room(spark, monkeypatch):
+    """The long join of p5 begins with edges, cores and initials alone on disk and the driver's garbage collected; frontiers are broadcast up to 20,000 ids."""
+    seen, cuts, near, comps = [], [], variants.near_cores, variants.components
+
+    class Cut(variants.Cut):
+        def __init__(self, *a):
+            super().__init__(*a)
+            cuts.append(self)
+
+        def sweep(self, *tables):
+            seen.append("sweep")
+            super().sweep(*tables)
+
+    monkeypatch.setattr(variants, "Cut", Cut)
+    monkeypatch.setattr(variants, "near_cores", lambda c: seen.append(sum(bool(p) for p, _ in cuts[0].made.values())) or near(c))
+    monkeypatch.setattr(variants, "components", lambda e, cut, ids=200_000: seen.append(ids) or comps(e, cut, ids))
+    rows = [("a", "Melon Barrow Foods Ltd"), ("b", "Mellon Barrow"), ("c", "M. Barrow"), ("d", "Quentin Vale"), ("d", "Quentin Vale"), (None, "Quentin Vale")]
+    df = spark.createDataFrame([(u, n, *[None] * 5) for u, n in rows], "uuid string, name string, description string, cik string, website_url string, linkedin_url string, headquarters_location string")
+    groups = {}
+    for r in variants.group_variants(df).collect():
+        groups.setdefault(bytes(r["group"]), []).append(r["uuid"])
+    assert sorted(sorted(g) for g in groups.values()) == [["a", "b", "c"], ["d"]]
+    assert [x for x in seen if x != "sweep"] == [3, 20_000] and seen.index(3) > seen.index("sweep")
+    # the joins by shuffle give what the broadcasts give
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 120)], "a bigint, b bigint")
+    assert {tuple(r) for r in comps(edges, None, 0).collect()} == {tuple(r) for r in comps(edges).collect()}
+
+
 def test_name_keys_and_variants(spark):
     cols = "uuid string, name string, description string, cik string, website_url string, linkedin_url string, headquarters_location string, group string"
     row = lambda u, n, d=None, c=None, w=None, l=None, h=None: (u, n, d, c, w, l, h, "x")
